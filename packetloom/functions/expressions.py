@@ -48,21 +48,24 @@ def flow_key(keys: Sequence[str]) -> Column:
     return F.concat_ws(", ", *parts)
 
 
-def key_text(keys: Sequence[str]) -> Column:
-    """The text that is hashed for a key."""
-    return F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys])
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def bucket(index: int, text: Column | str, width: int, hash: str = "md5") -> Column:
-    """Bucket ``0 .. width - 1`` of ``text`` under hash function number ``index``.
+def key_text(keys: Sequence[str]) -> str:
+    """SQL for the text that is hashed for a key."""
+    parts = [f"coalesce(CAST({quoted(k)} AS STRING), '{MISSING}')" for k in keys]
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+def bucket(index: int, text: str, width: int, hash: str = "md5") -> str:
+    """SQL for the bucket ``0 .. width - 1`` of ``text`` under hash function number ``index``.
 
     ``md5`` uses the leading 32 bits of the digest, so any SQL engine can compute
     the same bucket; ``xxhash64`` is the fast choice.
     """
-    text = _col(text)
     if hash == "md5":
-        digest = F.md5(F.concat(F.lit(f"{index}:"), text))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(width)
+        return f"CAST(conv(substring(md5(concat('{index}:', {text})), 1, 8), 16, 10) AS BIGINT) % {width}L"
     if hash == "xxhash64":
-        return F.pmod(F.xxhash64(F.lit(index), text), F.lit(width).cast("long"))
+        return f"pmod(xxhash64({index}, {text}), {width}L)"
     raise ValueError(f"unknown hash {hash!r}: use 'md5' or 'xxhash64'")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
-from packetloom.functions.expressions import bucket, key_text
+from packetloom.functions.expressions import bucket, key_text, quoted
 from packetloom.functions.ordering import running_sum
 from packetloom.functions.storage import cut_lineage
 from packetloom.operators.relational import _value
@@ -30,12 +30,11 @@ def cms_width(memory_in_bytes: int, depth: int) -> int:
 
 def slots(df: DataFrame, keys: Sequence[str], depth: int, width: int, seed: int, hash: str) -> DataFrame:
     """One output row per input row and hash row, with its ``_row`` and ``_bucket``."""
-    text = F.col("_text")
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("_row"), bucket(seed + i, text, width, hash).alias("_bucket")) for i in range(depth)]
-    )
+    pairs = [f"struct({i} AS _row, {bucket(seed + i, '_text', width, hash)} AS _bucket)" for i in range(depth)]
     # two projections: the key text is built once per row, not once per hash row
-    return df.withColumn("_text", key_text(keys)).select(*df.columns, F.inline(pairs))
+    return df.selectExpr("*", f"{key_text(keys)} AS _text").selectExpr(
+        *[quoted(c) for c in df.columns], f"inline(array({', '.join(pairs)}))"
+    )
 
 
 def _key_sums(df: DataFrame, keys: Sequence[str], value: Column | str | int) -> DataFrame:

@@ -23,10 +23,11 @@ def coupon_estimate(collected: Column, num_coupons: int) -> Column:
     return F.when((collected > 0) & (collected < num_coupons), drawn).otherwise(F.lit(0).cast("long"))
 
 
-def _count_coupons(pairs: DataFrame) -> DataFrame:
+def _count_coupons(drawn: DataFrame, pairs: Sequence[str]) -> DataFrame:
     # Spark first removes duplicate (epoch, row, coupon) triples map-side: a task
     # ships at most num_rows * num_coupons of them per epoch
-    return pairs.groupBy(EPOCH, "_row").agg(F.countDistinct("_coupon").alias("_coupons"))
+    collected = drawn.selectExpr(EPOCH, f"inline(array({', '.join(pairs)}))")
+    return collected.groupBy(EPOCH, "_row").agg(F.countDistinct("_coupon").alias("_coupons"))
 
 
 def coupon_table(
@@ -43,19 +44,13 @@ def coupon_table(
 
     Draws are a hash of the packet's ``seq``, so they are random over packets but repeatable.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                bucket(seed + i, "_text", num_rows, hash).alias("_row"),
-                bucket(seed + i, F.concat(F.lit(f"{j}:"), F.col(SEQ).cast("string")), num_coupons, hash).alias(
-                    "_coupon"
-                ),
-            )
-            for i in range(d)
-            for j in range(max_coupons_per_packet)
-        ]
-    )
-    return _count_coupons(df.withColumn("_text", key_text(keys)).select(EPOCH, F.inline(pairs)))
+    pairs = [
+        f"struct({bucket(seed + i, '_text', num_rows, hash)} AS _row, "
+        f"{bucket(seed + i, draw, num_coupons, hash)} AS _coupon)"
+        for i in range(d)
+        for draw in (f"concat('{j}:', CAST({SEQ} AS STRING))" for j in range(max_coupons_per_packet))
+    ]
+    return _count_coupons(df.selectExpr(EPOCH, SEQ, f"{key_text(keys)} AS _text"), pairs)
 
 
 def attribute_coupon_table(
@@ -69,17 +64,12 @@ def attribute_coupon_table(
     hash: str = "md5",
 ) -> DataFrame:
     """As ``coupon_table``, but equal attribute values draw equal coupons: rows count distinct values."""
-    drawn = df.withColumn("_text", key_text(keys)).withColumn("_attribute", key_text(attribute))
-    pairs = F.array(
-        *[
-            F.struct(
-                bucket(seed + i, "_text", num_rows, hash).alias("_row"),
-                bucket(seed + i, "_attribute", num_coupons, hash).alias("_coupon"),
-            )
-            for i in range(d)
-        ]
-    )
-    return _count_coupons(drawn.select(EPOCH, F.inline(pairs)))
+    pairs = [
+        f"struct({bucket(seed + i, '_text', num_rows, hash)} AS _row, "
+        f"{bucket(seed + i, '_attribute', num_coupons, hash)} AS _coupon)"
+        for i in range(d)
+    ]
+    return _count_coupons(df.selectExpr(EPOCH, f"{key_text(keys)} AS _text", f"{key_text(attribute)} AS _attribute"), pairs)
 
 
 def _look_up(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
@@ -16,16 +16,24 @@ from packetloom.functions.storage import cut_lineage
 SPAN_EPOCHS = 64
 
 
-def epoch_tumbling(frames: DataFrame, seconds: int, origin: int | None = None) -> DataFrame:
+def first_second(frames: DataFrame) -> Column:
+    """Second of the first frame, as a scalar subquery that reads only the time column."""
+    return frames.select("ts_sec").agg(F.min("ts_sec")).scalar()
+
+
+def epoch_tumbling(frames: DataFrame, seconds: int, origin: int | Column | None = None) -> DataFrame:
     """Fixed slices of ``seconds``, the first one starting at the first frame.
 
-    Without ``origin`` the first second is found by a scalar subquery that reads
-    only the time column; pass it to save that scan.
+    ``origin`` is the second to start from, if it is known or found more cheaply
+    than with ``first_second(frames)``.
     """
     if seconds < 1:
         raise ValueError("an epoch lasts at least one second")
-    start = F.lit(origin) if origin is not None else frames.agg(F.min("ts_sec")).scalar()
-    return frames.withColumn(EPOCH, floor_div(F.col("ts_sec") - start, seconds).cast("long"))
+    if origin is None:
+        origin = first_second(frames)
+    # one plain column first: the subquery then stands in the plan once
+    since = frames.withColumn(EPOCH, F.col("ts_sec") - origin)
+    return since.withColumn(EPOCH, floor_div(EPOCH, seconds))
 
 
 def chained_starts(frames: DataFrame, seconds: int) -> DataFrame:

@@ -41,7 +41,7 @@ def cardinality_linear(
 
 
 def _light(df: DataFrame, keys: Sequence[str], width: int, seed: int, hash: str) -> Column:
-    return bucket(seed, key_text(keys), width, hash).alias("bucket")
+    return F.expr(bucket(seed, key_text(keys), width, hash)).alias("bucket")
 
 
 def light_count(
@@ -120,7 +120,7 @@ def light_query(
 ) -> DataFrame:
     """Counter of each distinct probe key, in a row folded by ``ratio``; 0 where it is empty."""
     named = probes.select(EPOCH, *keys).dropDuplicates()
-    placed = named.withColumn("bucket", F.pmod(bucket(seed, key_text(keys), width, hash), F.lit(width // ratio)))
+    placed = named.withColumn("bucket", F.expr(f"({bucket(seed, key_text(keys), width, hash)}) % {width // ratio}L"))
     return placed.join(light, [EPOCH, "bucket"], "left").select(
         EPOCH, *keys, F.coalesce("value", F.lit(0)).alias(out)
     )

@@ -16,7 +16,7 @@ from packetloom.functions import expressions as ex
 from packetloom.operators import counters, coupons, epochs, membership, relational, report, stats
 from packetloom.operators.methods import reduce_by
 from packetloom.plans import telemetry
-from packetloom.sources.tables import read_events_as_frames, tcp_only
+from packetloom.sources.tables import clock_of_events, frames_from_events, read_events, read_events_as_frames, tcp_only
 from packetloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,12 @@ def _packets(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
-    return epochs.epoch_tumbling(read_events_as_frames(spark, folder), DAY)
+    return _tumbling(spark, folder, DAY)
+
+
+def _tumbling(spark: SparkSession, folder: str, seconds: int) -> DataFrame:
+    events = read_events(spark, folder)
+    return epochs.epoch_tumbling(frames_from_events(events), seconds, epochs.first_second(clock_of_events(events)))
 
 
 def register(name: str):
@@ -92,7 +97,7 @@ def epoch_report(spark, folder):
 
 @register("epoch_tumbling")
 def epoch_tumbling(spark, folder):
-    return epochs.epoch_tumbling(read_events_as_frames(spark, folder), HOUR).select("seq", EPOCH)
+    return _tumbling(spark, folder, HOUR).select("seq", EPOCH)
 
 
 @register("epoch_chained")

@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME_COLUMNS = (
@@ -27,57 +27,65 @@ FRAME_COLUMNS = (
 TCP = 6
 
 
-def _unix_micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since 1970; a zoneless timestamp is read as UTC whatever the session zone."""
-    if df.schema[name].dataType.typeName() != "timestamp_ntz":
-        return F.unix_micros(name)
-    days = F.unix_date(F.to_date(name)).cast("long")
-    seconds = days * 86400 + F.hour(name) * 3600 + F.minute(name) * 60
-    return seconds * 1000000 + (F.date_part(F.lit("SECOND"), F.col(name)) * 1000000).cast("long")
+# fixed layout of the events table
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def _unix_seconds(df: DataFrame, name: str) -> Column:
+def _instant(df: DataFrame, name: str) -> str:
+    """SQL for the column as TIMESTAMP; a zoneless timestamp is read as UTC whatever the session zone."""
     if df.schema[name].dataType.typeName() != "timestamp_ntz":
-        return F.unix_seconds(name)
-    days = F.unix_date(F.to_date(name)).cast("long")
-    return days * 86400 + F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
+        return name
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z"):
+        return f"CAST({name} AS TIMESTAMP)"
+    # date, hour and second of a zoneless value do not depend on the session zone
+    return (
+        f"timestamp_micros((unix_date(CAST({name} AS DATE)) * 86400L + hour({name}) * 3600 + minute({name}) * 60) "
+        f"* 1000000 + CAST(date_part('SECOND', {name}) * 1000000 AS BIGINT))"
+    )
 
 
 def frames_from_events(events: DataFrame) -> DataFrame:
-    """Read the ``events`` test table (batch or stream) as frames; see FIXTURES.md for the mapping."""
-    tagged = events.select(
-        "event_id",
-        F.timestamp_micros(_unix_micros(events, "ts")).alias("ts"),
-        _unix_seconds(events, "ts").alias("ts_sec"),
+    """Read the ``events`` test table (batch or stream) as frames; see FIXTURES.md for the mapping.
+
+    ``explode`` of one element makes ``k`` a column of its own: a plain projection
+    would be folded into later filters and parse the JSON text twice.
+    """
+    instant = _instant(events, "ts")
+    return events.selectExpr(
+        "event_id AS seq",
+        f"{instant} AS ts",
+        f"unix_seconds({instant}) AS ts_sec",
         "user_id",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
-    flags = (
-        F.when(F.col("event_type") == "signup", 2)
-        .when(F.col("event_type") == "error", 18)
-        .when(F.col("event_type") == "click", 16)
-        .when(F.col("event_type") == "view", 1)
-        .otherwise(17)
-    )
-    return tagged.select(
-        F.col("event_id").alias("seq"),
+        "explode(array(CAST(get_json_object(props, '$.k') AS INT))) AS k",
+    ).selectExpr(
+        "seq",
         "ts",
         "ts_sec",
-        F.concat(F.lit("10.0.0."), (F.col("user_id") % 16).cast("string")).alias("src_ip"),
-        F.concat(F.lit("10.0.0."), (F.col("k") % 16).cast("string")).alias("dst_ip"),
-        (1024 + F.col("user_id") % 64).cast("int").alias("src_port"),
-        F.col("k").alias("dst_port"),
-        flags.alias("tcp_flags"),
-        (40 + F.floor("value")).cast("long").alias("total_len"),
-        F.when(F.col("k") % 10 == 9, 17).otherwise(6).alias("protocol"),
-        F.lit(None).cast("int").alias("dns_ns_type"),
+        "concat('10.0.0.', CAST(user_id % 16 AS STRING)) AS src_ip",
+        "concat('10.0.0.', CAST(k % 16 AS STRING)) AS dst_ip",
+        "CAST(1024 + user_id % 64 AS INT) AS src_port",
+        "k AS dst_port",
+        "CASE event_type WHEN 'signup' THEN 2 WHEN 'error' THEN 18 WHEN 'click' THEN 16 WHEN 'view' THEN 1 "
+        "ELSE 17 END AS tcp_flags",
+        "CAST(40 + floor(value) AS BIGINT) AS total_len",
+        "CASE WHEN k % 10 = 9 THEN 17 ELSE 6 END AS protocol",
+        "CAST(NULL AS INT) AS dns_ns_type",
     )
 
 
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{folder}/events.parquet")
+
+
+def clock_of_events(events: DataFrame) -> DataFrame:
+    """Only ``ts_sec`` of the frames, without touching the other columns."""
+    return events.selectExpr(f"unix_seconds({_instant(events, 'ts')}) AS ts_sec")
+
+
 def read_events_as_frames(spark: SparkSession, folder: str) -> DataFrame:
-    return frames_from_events(spark.read.parquet(f"{folder}/events.parquet"))
+    return frames_from_events(read_events(spark, folder))
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from packetloom import EPOCH
 from packetloom.functions.expressions import floor_div
 from packetloom.functions.storage import scratch_path
 from packetloom.operators.report import epoch_report
-from packetloom.sources.tables import frames_from_events, tcp_only
+from packetloom.sources.tables import EVENTS_SCHEMA, frames_from_events, tcp_only
 
 FIN, SYN, FIN_ACK = 1, 2, 17
 
@@ -28,7 +28,7 @@ def stream_events_as_frames(spark: SparkSession, folder: str, max_files_per_trig
     With ``max_files_per_trigger`` files should arrive in time order, or the
     watermark delay must cover the disorder between triggers.
     """
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema)
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     # the glob lets a stream, which expects folders, also take a single file
