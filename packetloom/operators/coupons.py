@@ -63,10 +63,13 @@ def attribute_coupon_table(
     seed: int = 42,
     hash: str = "md5",
 ) -> DataFrame:
-    """As ``coupon_table``, but equal attribute values draw equal coupons: rows count distinct values."""
+    """As ``coupon_table``, but equal attribute values draw equal coupons: rows count distinct values.
+
+    The coupon has a hash function of its own, so a key that picks one row twice draws no extra coupon.
+    """
     pairs = [
         f"struct({bucket(seed + i, '_text', num_rows, hash)} AS _row, "
-        f"{bucket(seed + i, '_attribute', num_coupons, hash)} AS _coupon)"
+        f"{bucket(seed + d, '_attribute', num_coupons, hash)} AS _coupon)"
         for i in range(d)
     ]
     return _count_coupons(df.selectExpr(EPOCH, f"{key_text(keys)} AS _text", f"{key_text(attribute)} AS _attribute"), pairs)

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from packetloom import EPOCH, SEQ
 from packetloom.functions.expressions import floor_div
 from packetloom.functions.ordering import running_sum
+from packetloom.functions.skew import salted_lookup
 from packetloom.functions.storage import cut_lineage
 
 # a span of this many epoch lengths is walked by one task in epoch_chained
 SPAN_EPOCHS = 64
+# the bucket lookup of epoch_chained is broadcast up to this many rows (about 40 bytes each)
+BROADCAST_BUCKETS = 1_000_000
+BUCKET_SALTS = 64
 
 
 def first_second(frames: DataFrame) -> Column:
@@ -113,16 +117,18 @@ def epoch_chained(frames: DataFrame, seconds: int) -> DataFrame:
         "start_seq",
         (F.col("_upto") - F.col("start").isNotNull().cast("long")).alias("_before"),
     )
+    keyed = frames.withColumn("_bucket", floor_div("ts_sec", seconds))
+    if buckets.count() <= BROADCAST_BUCKETS:
+        joined = keyed.join(F.broadcast(lookup), "_bucket")
+    else:
+        # one bucket may hold a large share of the frames: split it
+        joined = salted_lookup(keyed, lookup, ["_bucket"], [SEQ], BUCKET_SALTS, "inner")
     opened = (F.col("ts_sec") > F.col("start")) | (
         (F.col("ts_sec") == F.col("start")) & (F.col(SEQ) > F.col("start_seq"))
     )
-    return (
-        frames.withColumn("_bucket", floor_div("ts_sec", seconds))
-        .join(lookup, "_bucket")
-        # the very first start opens epoch 0 for its own frame too
-        .withColumn(EPOCH, F.greatest(F.col("_before") - 1 + F.coalesce(opened, F.lit(False)).cast("long"), F.lit(0)))
-        .drop("_bucket", "start", "start_seq", "_before")
-    )
+    # the very first start opens epoch 0 for its own frame too
+    epoch = F.greatest(F.col("_before") - 1 + F.coalesce(opened, F.lit(False)).cast("long"), F.lit(0))
+    return joined.withColumn(EPOCH, epoch).drop("_bucket", "start", "start_seq", "_before")
 
 
 def last_epoch(df: DataFrame, frames: DataFrame | None = None) -> DataFrame:

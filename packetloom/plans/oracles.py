@@ -104,11 +104,13 @@ def _bloom(keys: Sequence[str], where: str = "TRUE", size: int = 97, hashes: int
     ]
 
 
-def _coupons(keys: Sequence[str], coupon_text: list[list[str]], where: str = "TRUE", m: int = 8, n: int = 1024) -> list[str]:
+def _coupons(
+    keys: Sequence[str], coupon_text: list[list[str]], where: str = "TRUE", m: int = 8, n: int = 1024, index: int | None = None
+) -> list[str]:
     """CTEs ending in fill (coupons per row) and fullest (most coupons per key)."""
     d = len(coupon_text)
     draws = " UNION ALL ".join(
-        f"SELECT epoch_id, {_hash(SEED + i, _text(keys), m)} AS r, {_hash(SEED + i, text, n)} AS coupon "
+        f"SELECT epoch_id, {_hash(SEED + i, _text(keys), m)} AS r, {_hash(SEED + (i if index is None else index), text, n)} AS coupon "
         f"FROM packets WHERE {where}"
         for i in range(d)
         for text in coupon_text[i]
@@ -306,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "coupon_distinct": _sql(
             f"SELECT epoch_id, src_ip, {_drawn()} AS distinct_values FROM fullest",
-            *_coupons(["src_ip"], [[_text(["dst_ip", "dst_port"])]] * 3),
+            *_coupons(["src_ip"], [[_text(["dst_ip", "dst_port"])]] * 3, index=3),
         ),
         "beaucoup_contains": _sql(
             "SELECT epoch_id, dst_ip, src_ip FROM fullest WHERE k > 0",
