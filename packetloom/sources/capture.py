@@ -211,8 +211,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(ranges: DataFrame, count: int) -> DataFrame:
-    """About one range per task: the rows are tiny, but the bytes they stand for are not."""
-    return ranges.repartition(max(1, min(count, MAX_TASKS)), "path", "lo")
+    """One range per task (round-robin, so evenly): the rows are tiny, but not the bytes they stand for."""
+    return ranges.repartition(max(1, min(count, MAX_TASKS)))
 
 
 def capture_ranges(spark: SparkSession, path: str, split_bytes: int, glob: str | None = None) -> DataFrame:

@@ -11,19 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAME_COLUMNS = (
-    "seq",
-    "ts",
-    "ts_sec",
-    "src_ip",
-    "dst_ip",
-    "src_port",
-    "dst_port",
-    "tcp_flags",
-    "total_len",
-    "protocol",
-    "dns_ns_type",
+FRAME_SCHEMA = (
+    "seq BIGINT, ts TIMESTAMP, ts_sec BIGINT, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, "
+    "tcp_flags INT, total_len BIGINT, protocol INT, dns_ns_type INT"
 )
+FRAME_COLUMNS = tuple(field.split()[0] for field in FRAME_SCHEMA.split(", "))
 TCP = 6
 
 
@@ -88,9 +80,9 @@ def read_events_as_frames(spark: SparkSession, folder: str) -> DataFrame:
     return frames_from_events(read_events(spark, folder))
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames that are already stored in the layout above."""
-    return spark.read.parquet(path).select(*FRAME_COLUMNS)
+def read_frames(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Frames that are already stored in the layout above, in any format Spark reads."""
+    return spark.read.format(format).schema(FRAME_SCHEMA).load(path)
 
 
 def tcp_only(frames: DataFrame) -> DataFrame:
