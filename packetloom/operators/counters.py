@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from packetloom import EPOCH, SEQ
 from packetloom.functions.expressions import bucket, key_text, quoted
 from packetloom.functions.ordering import running_sum
+from packetloom.functions.skew import salted_lookup, salts_for
 from packetloom.functions.storage import cut_lineage
 from packetloom.operators.relational import _value
 
@@ -37,6 +38,13 @@ def slots(df: DataFrame, keys: Sequence[str], depth: int, width: int, seed: int,
     )
 
 
+def look_up(
+    placed: DataFrame, table: DataFrame, on: Sequence[str], keys: Sequence[str], width: int, how: str = "inner"
+) -> DataFrame:
+    """Join placed keys to a sketch table; the keys of one bucket are split if buckets are few."""
+    return salted_lookup(placed, table, on, keys, salts_for(width), how)
+
+
 def _key_sums(df: DataFrame, keys: Sequence[str], value: Column | str | int) -> DataFrame:
     """Exact sum per key. The last filter is what both later uses share, so that
     the shuffle behind this table is computed once and reused."""
@@ -71,8 +79,7 @@ def _read(
 ) -> DataFrame:
     """Smallest estimate over the rows of every key in ``sums``."""
     return (
-        slots(sums, keys, depth, width, seed, hash)
-        .join(estimates, list(SLOT))
+        look_up(slots(sums, keys, depth, width, seed, hash), estimates, SLOT, keys, width)
         .groupBy(EPOCH, *keys)
         .agg(F.min("_estimate").alias(out))
     )
@@ -91,8 +98,7 @@ def point_estimate(
     """Estimate of each probe key (rows ``epoch_id, keys``), whether it was inserted or not."""
     named = probes.select(EPOCH, *keys).dropDuplicates()
     return (
-        slots(named, keys, depth, width, seed, hash)
-        .join(table, list(SLOT), "left")
+        look_up(slots(named, keys, depth, width, seed, hash), table, SLOT, keys, width, "left")
         .groupBy(EPOCH, *keys)
         .agg(F.min(F.coalesce("_count", F.lit(0))).alias(out))
     )

@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
 from packetloom.functions.expressions import bucket, key_text
-from packetloom.functions.skew import salted_lookup
+from packetloom.functions.skew import salted_lookup, salts_for
 from packetloom.operators.counters import slots
 
-# a coupon table has few rows per epoch; lookups are spread over at least this many join keys
-SPREAD = 1024
-
 
 def coupon_estimate(collected: Column, num_coupons: int) -> Column:
     """Expected draws behind ``collected`` different coupons; 0 for an empty or full row."""
@@ -82,7 +79,7 @@ def _look_up(
     named = probes.select(EPOCH, *keys).dropDuplicates()
     picked = slots(named, keys, d, num_rows, seed, hash).drop("_row").withColumnRenamed("_bucket", "_row")
     return (
-        salted_lookup(picked, table, [EPOCH, "_row"], keys, max(1, SPREAD // num_rows))
+        salted_lookup(picked, table, [EPOCH, "_row"], keys, salts_for(num_rows))
         .groupBy(EPOCH, *keys)
         .agg(F.max(F.coalesce("_coupons", F.lit(0))).alias("_fullest"))
     )

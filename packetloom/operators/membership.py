@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
-from packetloom.operators.counters import slots
+from packetloom.operators.counters import look_up, slots
 from packetloom.operators.relational import distinct_exact
 
 
@@ -42,7 +42,7 @@ def distinct_bloom(
     touched = _bits(first, keys, size, num_hashes, seed, hash)
     set_at = touched.groupBy(EPOCH, "_bucket").agg(F.min(SEQ).alias("_set_at"))
     passed = (
-        touched.join(set_at, [EPOCH, "_bucket"])
+        look_up(touched, set_at, [EPOCH, "_bucket"], keys, size)
         .groupBy(EPOCH, *keys, SEQ)
         .agg(F.max("_set_at").alias("_last_set"))
         .where(F.col("_last_set") == F.col(SEQ))
@@ -68,9 +68,9 @@ def bloom_semi_join(
     Each distinct key is probed once; its rows are then kept by a semi-join.
     """
     bits = bloom_bits(build, build_keys, size, num_hashes, seed, hash)
+    probes = _bits(rows.select(EPOCH, *row_keys).dropDuplicates(), row_keys, size, num_hashes, seed, hash)
     present = (
-        _bits(rows.select(EPOCH, *row_keys).dropDuplicates(), row_keys, size, num_hashes, seed, hash)
-        .join(bits.withColumn("_set", F.lit(1)), [EPOCH, "_bucket"], "left")
+        look_up(probes, bits.withColumn("_set", F.lit(1)), [EPOCH, "_bucket"], row_keys, size, "left")
         .groupBy(EPOCH, *row_keys)
         .agg(F.min(F.coalesce("_set", F.lit(0))).alias("_all_set"))
         .where("_all_set = 1")

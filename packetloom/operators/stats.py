@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom import EPOCH
 from packetloom.functions.expressions import bucket, flow_key, key_text
-from packetloom.operators.counters import build_counters
+from packetloom.operators.counters import build_counters, look_up
 from packetloom.operators.relational import _value, reduce_exact
 
 LIGHT_MAX = 255  # light counters have 8 bits
@@ -121,7 +121,7 @@ def light_query(
     """Counter of each distinct probe key, in a row folded by ``ratio``; 0 where it is empty."""
     named = probes.select(EPOCH, *keys).dropDuplicates()
     placed = named.withColumn("bucket", F.expr(f"({bucket(seed, key_text(keys), width, hash)}) % {width // ratio}L"))
-    return placed.join(light, [EPOCH, "bucket"], "left").select(
+    return look_up(placed, light, [EPOCH, "bucket"], keys, width // ratio, "left").select(
         EPOCH, *keys, F.coalesce("value", F.lit(0)).alias(out)
     )
 

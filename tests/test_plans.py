@@ -59,6 +59,36 @@ def test_broadcast_lookup_keeps_the_partitioning(spark):
     assert len(re.findall(r"- Exchange hashpartitioning\(epoch_id#\d+L, src_ip", final)) == 1
 
 
+def test_hot_key_of_a_row_level_join_is_split(spark, no_broadcast):
+    """Adaptive execution splits the rows of one key that outweighs all others."""
+    rows = random_packets(20000, hot=0.6, keys=200, epochs=1)
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = frame(spark, rows).repartition(8).cache()
+        kept = membership.bloom_semi_join(df, df, ["src_ip"], ["src_ip"])
+        assert kept.count() == len(rows)
+        done = kept.select("seq", "total_len")
+        done.collect()
+        assert "skew=true" in plan(done).split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_narrow_tables_are_salted(spark, no_broadcast):
+    df = frame(spark, random_packets(200))
+    assert "_salt" in plan(counters.reduce_cms(df, ["src_ip"], 1, memory_in_bytes=256))
+    assert "_salt" not in plan(counters.reduce_cms(df, ["src_ip"], 1))
+    assert "_salt" in plan(stats.light_query(stats.light_count(df, ["src_ip"], width=64), df, ["src_ip"], width=64))
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     text = plan(stats.heavy_hitters(frame(spark, random_packets(50)), ["src_ip"], 1, 5))
     assert "WindowGroupLimit" in text and "Partial" in text
