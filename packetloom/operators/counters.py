@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
@@ -197,27 +197,20 @@ def reduce_fcm(
         raise ValueError(f"unknown mode {mode!r}: use 'overflow' or 'arrival'")
     sums = _key_sums(df, keys, value)
     level1 = _fill(sums, keys, depth, width_l1, seed, hash)
-    level2 = (
-        level1.where(F.col("_count") > t1)
-        .groupBy(EPOCH, "_row", F.shiftright("_bucket", ARY_BITS).alias("_parent"))
-        .agg(F.sum(F.col("_count") - t1).alias("_l2"))
+    # a root covers 64 buckets, so both windows stay that small and share one shuffle
+    root = [EPOCH, "_row", "_root"]
+    in_parent = Window.partitionBy(*root, "_parent")
+    tree = (
+        level1.selectExpr("*", f"shiftright(_bucket, {ARY_BITS}) AS _parent", f"shiftright(_bucket, {2 * ARY_BITS}) AS _root")
+        .repartition(*root)
+        .withColumn("_l2", F.sum(F.greatest(F.col("_count") - t1, F.lit(0))).over(in_parent))
+        .withColumn("_nth", F.row_number().over(in_parent.orderBy("_bucket")))
     )
-    level3 = (
-        level2.where(F.col("_l2") > t2 - t1)
-        .groupBy(EPOCH, "_row", F.shiftright("_parent", ARY_BITS).alias("_root"))
-        .agg(F.sum(F.col("_l2") - (t2 - t1)).alias("_l3"))
-    )
-    estimate = (
-        F.when(F.col("_count") <= t1, F.col("_count"))
-        .when(F.col("_l2") + t1 <= t2, F.col("_l2") + t1)
-        .otherwise(F.col("_l3") + t2)
-    )
-    estimates = (
-        level1.withColumn("_parent", F.shiftright("_bucket", ARY_BITS))
-        .withColumn("_root", F.shiftright("_parent", ARY_BITS))
-        .join(level2, [EPOCH, "_row", "_parent"], "left")
-        .join(level3, [EPOCH, "_row", "_root"], "left")
-        .select(*SLOT, estimate.alias("_estimate"))
+    # every child row carries its parent's excess: count it once
+    excess = F.when(F.col("_nth") == 1, F.greatest(F.col("_l2") - (t2 - t1), F.lit(0)))
+    estimates = tree.withColumn("_l3", F.sum(excess).over(Window.partitionBy(*root))).selectExpr(
+        *SLOT,
+        f"CASE WHEN _count <= {t1} THEN _count WHEN _l2 + {t1} <= {t2} THEN _l2 + {t1} ELSE _l3 + {t2} END AS _estimate",
     )
     return _read(sums, estimates, keys, out, depth, width_l1, seed, hash)
 

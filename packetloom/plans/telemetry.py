@@ -90,6 +90,15 @@ def heavy_flows(
     return at_least(sums, "total_len", threshold)
 
 
+def _addressed(packets: DataFrame, address: str) -> DataFrame:
+    """Packets that can take part in a join on ``address``.
+
+    Spark would add this test by itself, but only where a sketch is read and not
+    where it is filled; the two would then no longer share their key sums.
+    """
+    return packets.where(F.col(address).isNotNull())
+
+
 def _flag_counts(
     packets: DataFrame, left_flag: int, right_flag: int, method: str, sketch: Params | None
 ) -> DataFrame:
@@ -106,14 +115,16 @@ def _flag_counts(
         return (
             tcp.where(F.col("tcp_flags").isin(left_flag, right_flag))
             .select(EPOCH, address.alias("dst_ip"), is_left.cast("long").alias("_left"))
-            .where(F.col("dst_ip").isNotNull())
+            .transform(_addressed, "dst_ip")
             .groupBy(EPOCH, "dst_ip")
             .agg(F.sum("_left").alias("left_count"), F.sum(1 - F.col("_left")).alias("right_count"))
             .where("left_count > 0 AND right_count > 0")
         )
     params = sketch or {}
-    left = reduce_by(filter_eq(tcp, {"tcp_flags": left_flag}), ["dst_ip"], 1, method, "left_count", **params)
-    right = reduce_by(filter_eq(tcp, {"tcp_flags": right_flag}), ["src_ip"], 1, method, "right_count", **params)
+    left = _addressed(filter_eq(tcp, {"tcp_flags": left_flag}), "dst_ip")
+    right = _addressed(filter_eq(tcp, {"tcp_flags": right_flag}), "src_ip")
+    left = reduce_by(left, ["dst_ip"], 1, method, "left_count", **params)
+    right = reduce_by(right, ["src_ip"], 1, method, "right_count", **params)
     return epoch_join(left, right, ["dst_ip"], ["src_ip"]).drop("src_ip")
 
 
@@ -167,10 +178,11 @@ def slowloris(
             .agg(F.sum("total_len").alias("total_len"))
             .groupBy(EPOCH, "dst_ip")
             .agg(F.sum("total_len").alias("total_len"), F.count(F.lit(1)).alias("count"))
-            .where(F.col("dst_ip").isNotNull())
+            .transform(_addressed, "dst_ip")
         )
         return at_least(at_least(both, "total_len", bytes_threshold), "count", conns_threshold)
     params = sketch or {}
+    tcp = _addressed(tcp, "dst_ip")
     sent = reduce_by(tcp, ["dst_ip"], "total_len", method, "total_len", **params)
     conns = distinct_by(tcp, connection, distinct_method, **(bloom or {}))
     counted = reduce_by(conns, ["dst_ip"], 1, method, "count", **params)

@@ -38,6 +38,19 @@ def test_join_queries_scan_once(spark, name):
     assert "Join" not in text
 
 
+@pytest.mark.parametrize(
+    "name,scans",
+    [("q1_cms", 1), ("q5_fcm", 1), ("q4_bloom", 1), ("q3_bloom_cms", 1), ("q2_bloom_cms", 1), ("q6_cms", 2), ("q8_bloom_cms", 2)],
+)
+def test_sketched_queries_read_each_input_once(spark, name, scans):
+    made = contract.queries()[name](spark, FOLDER)
+    made.collect()
+    final = plan(made)
+    final = final[: final.rindex("\n+- == Initial Plan ==")]
+    # stages that really read the event payload, not those that reuse another stage
+    assert len(re.findall(r"FileScan parquet \[[^]]*props", final)) == scans
+
+
 def test_sketch_tables_share_the_key_sums(spark, no_broadcast):
     df = frame(spark, random_packets(200))
     keys = ["src_ip", "dst_ip"]
