@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, lines, sharding, toxicity
+from packetloom.llm import bpe, lines, minhash, secrets, sharding, toxicity
 from packetloom.llm.columns import whole
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,32 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def _joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    kind = F.array(*map(F.lit, secrets.KINDS))
+    parts = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s.kind + 1), s.start, s.end))
+    return F.array_join(parts, ",")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s.kind < 3)
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{secrets.KINDS[k]}") for k in range(4)],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = bpe.encode(docs, VOCABULARY).select(
@@ -45,19 +71,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
-    model = toxicity.fit(docs, labelled(spark, sf_dir, docs).where(~held_out))
-    scored = toxicity.score(docs, model).withColumn("held_out", held_out)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a missing id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Documents with their labels; a document with several label rows counts once per row."""
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return docs.join(labels, "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out))).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op7_bpe, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op7_bpe, op8_sharding, op10_toxicity)}

@@ -36,6 +36,7 @@ _LM_LEXICON_SHARE = 0.02
 MAX_LEXICON = 2000
 FIT_ROWS = 50_000
 _MIN_Z = 4.0
+_RIDGE = 1.0
 _MEMO = 300_000
 
 
@@ -251,22 +252,39 @@ def _logistic(found: list[list[int]], labels: np.ndarray, size: int) -> tuple[np
         x = bias + np.bincount(row, w[col], len(found))
         p = 1 / (1 + np.exp(-np.clip(x, -50, 50)))
         error, slope = labels - p, p * (1 - p)
-        w += 0.5 * (np.bincount(col, error[row], size) - 0.02 * w) / (np.bincount(col, slope[row], size) + 0.25)
+        w += 0.5 * (np.bincount(col, error[row], size) - _RIDGE * w) / (np.bincount(col, slope[row], size) + _RIDGE)
         bias += 0.5 * error.sum() / (slope.sum() + 1.0)
     return w, bias
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
-    """Learn from ``labelled`` rows, with character counts of all ``docs``.
+def _copies(docs: DataFrame) -> DataFrame:
+    """``_id`` and ``_key``, the smallest hash of the text's five-word shingles: near copies mostly share it."""
 
-    Word counts cover every labelled row. Only the weights are fitted on a
-    sample: the ``FIT_ROWS`` rows with the smallest hash of their id. The lexicon
-    holds at most ``MAX_LEXICON`` words. Rows without a label are ignored;
-    without both classes every score is the same.
+    def smallest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keys = []
+            for text in batch.column(1).to_pylist():
+                shingles = vectors.shingle_sets([text.encode()], 5)[0]
+                keys.append(int(shingles[0].view(np.int64)) if len(shingles) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["_id", "_key"])
+
+    return docs.mapInArrow(smallest, T.StructType([docs.schema.fields[0], T.StructField("_key", T.LongType())]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
+    """Learn from the ``docs`` that ``labels`` marks 0 or 1, with character counts of all ``docs``.
+
+    Of near copies with the same label only one counts, else the words of a much
+    copied toxic text would look toxic. Word counts cover all other labelled
+    rows. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
+    smallest hash of their id. The lexicon holds at most ``MAX_LEXICON`` words.
+    Rows without a label or an id are ignored; without both classes every score
+    is the same.
     """
-    rows = labelled.select(
-        whole(text_col).alias("_text"), F.col(label_col).cast("int").alias("toxic"), F.xxhash64(id_col).alias("_order")
-    ).where("toxic in (0, 1)")
+    texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
+    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
+    chosen = marks.join(_copies(texts), "_id").groupBy("_key", "toxic").agg(F.min("_id").alias("_id"))
+    rows = texts.join(chosen.select("_id", "toxic").distinct(), "_id").select("_text", "toxic", F.xxhash64("_id").alias("_order"))
     words = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:
