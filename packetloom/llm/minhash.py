@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from packetloom.llm.columns import whole
 from packetloom.llm.vectors import fold, mix
 
-K, TUPLE, CELLS = 8, 3, 64
+K, TUPLE, CELLS = 8, 2, 64
+# ranges of the table in order of ids, at most; each streams through one task, however long
+MAX_RANGES = 4096
 _POS_BITS = 20
 _POS = np.uint64((1 << _POS_BITS) - 1)
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -117,7 +119,7 @@ def with_following(df: DataFrame, rows_per_range: int, id_col: str, text_col: st
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     rows = df.select(order.alias("_order"), F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
-    ranges = -(-rows.count() // rows_per_range)
+    ranges = min(MAX_RANGES, -(-rows.count() // rows_per_range))
     cuts: list[int] = []
     if ranges > 1:
         found = rows.agg(F.percentile_approx("_order", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c"))

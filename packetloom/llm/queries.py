@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, lines, minhash, secrets, sharding, toxicity
+from packetloom.llm import bpe, decontaminate, lines, minhash, secrets, sharding, toxicity
 from packetloom.llm.columns import whole
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = bpe.encode(docs, VOCABULARY).select(
@@ -85,4 +90,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op7_bpe, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op7_bpe, op8_sharding, op10_toxicity)}
