@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontaminate, lines, minhash, secrets, sharding, toxicity
+from packetloom.llm import bpe, decontaminate, lines, minhash, ngram_model, secrets, sharding, toxicity
 from packetloom.llm.columns import whole
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,6 +56,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), items)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    model = ngram_model.fit(docs.where(~held_out))
+    return ngram_model.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = bpe.encode(docs, VOCABULARY).select(
@@ -90,4 +106,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op7_bpe, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op5_lm_scores, op7_bpe, op8_sharding, op10_toxicity)}
