@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontaminate, lines, minhash, ngram_model, secrets, sharding, toxicity
+from packetloom.llm import bpe, decontaminate, jaccard_join, lines, minhash, ngram_model, secrets, sharding, toxicity
 from packetloom.llm.columns import whole
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +73,11 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard_join.similar_groups(docs, Fraction(9, 10), size=3)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = bpe.encode(docs, VOCABULARY).select(
@@ -106,4 +112,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op5_lm_scores, op7_bpe, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_jaccard_join, op7_bpe, op8_sharding, op10_toxicity)}
