@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontaminate, jaccard_join, lines, minhash, ngram_model, secrets, sharding, toxicity
+from packetloom.llm import bpe, decontaminate, jaccard_join, lines, minhash, ngram_model, secrets, sharding, suffixes, toxicity
 from packetloom.llm.columns import whole
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a missing id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir).select("doc_id", "text")).drop("kept")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     kept = lines.dedup_lines(docs, n_lines="n_lines", n_dropped="n_dropped")
@@ -98,11 +107,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fold(doc_id: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``; a missing id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = fold("doc_id", 5) == 0
@@ -112,4 +116,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_jaccard_join, op7_bpe, op8_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_jaccard_join, op7_bpe, op8_sharding, op9_suffix_dedup, op10_toxicity)}
