@@ -36,11 +36,11 @@ WITH RECURSIVE words AS (
 ), sizes AS (
     SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
 ), pairs AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
     FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
     SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-    WHERE 100 * both >= 90 * (x.n + y.n - both)
+    WHERE 100 * common >= 90 * (x.n + y.n - common)
 ), both_ways AS (
     SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (

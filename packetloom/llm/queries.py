@@ -102,7 +102,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
     placed = sharding.assign_shards(sized, "doc_id", [1.0] * SHARDS, grown_by=1.0)
-    return sharding.number_slots(placed.withColumn("law", F.lit("key"))).select(
+    return sharding.number_slots(placed.withColumn("law", F.lit("key")), "doc_id").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.functions.ordering import positions
 from packetloom.functions.storage import cut_lineage
 from packetloom.llm.columns import packed, unpacked
 
@@ -58,23 +59,13 @@ def assign_shards(
     return unpacked(placed, df.columns, added)
 
 
-def number_slots(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """Number the rows of each shard 0, 1, 2, ... without bringing a shard into one task.
+def number_slots(df: DataFrame, order: str, shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """Number the rows of each shard 0, 1, 2, ... by ``order`` (null first) without bringing a shard into one task.
 
-    The rows (pass only narrow ones) are written once, which fixes their
-    partitions. A slot is the number of a row within its shard and partition
-    plus the rows of the shard in earlier partitions; the window over a whole
-    shard only sees one row per partition.
+    The rows (pass only narrow ones) are written once, which gives each a place
+    that breaks ties between equal ones; then they are sorted by ranges over all
+    tasks, and a range only needs the row counts of the ranges before it.
     """
-    fixed = packed(
-        cut_lineage(df), _shard=F.col(shard), _at=F.monotonically_increasing_id(), _part=F.spark_partition_id()
-    )
-    inside = Window.partitionBy("_shard", "_part").orderBy("_at")
-    before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        fixed.groupBy("_shard", "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_shard", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    numbered = fixed.withColumn("_nth", F.row_number().over(inside)).join(offsets, ["_shard", "_part"])
-    return unpacked(numbered, df.columns, {slot: F.col("_offset") + F.col("_nth") - 1})
+    fixed = packed(cut_lineage(df), _shard=F.col(shard), _order=F.col(order), _tie=F.monotonically_increasing_id())
+    numbered = positions(fixed, "_shard", [F.col("_order"), F.col("_tie")], "_nth")
+    return unpacked(numbered, df.columns, {slot: F.col("_nth") - 1})
