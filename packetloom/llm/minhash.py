@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import pack
 from packetloom.llm.vectors import fold, mix
 
 K, TUPLE, CELLS = 8, 2, 64
@@ -119,6 +121,7 @@ def with_following(df: DataFrame, rows_per_range: int, id_col: str, text_col: st
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     rows = df.select(order.alias("_order"), F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
+    rows = rows.withColumn("_tie", F.xxhash64("_text"))
     ranges = min(MAX_RANGES, -(-rows.count() // rows_per_range))
     cuts: list[int] = []
     if ranges > 1:
@@ -127,19 +130,19 @@ def with_following(df: DataFrame, rows_per_range: int, id_col: str, text_col: st
     # the number of cuts at or above an id: ranges in falling order of ids
     bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
     placed = rows.withColumn("_range", F.size(F.filter(bounds, lambda c: c > F.col("_order"))))
-    heads = placed.groupBy("_range").agg(F.max(F.struct("_order", "_text")).alias("head")).select("_range", "head._order")
+    heads = placed.groupBy("_range").agg(F.max("_order").alias("_order"))
     firsts = [(r["_range"], r["_order"]) for r in heads.orderBy("_range").collect()]  # one pair of numbers per range
     if not firsts:
-        return placed.select("_range", F.lit(0).alias("_kind"), "_order", "_id", "_text")
+        return placed.select("_range", F.lit(0).alias("_kind"), "_order", "_tie", "_id", "_text")
     before = {order: firsts[i - 1][0] for i, (_, order) in enumerate(firsts)}
     at = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_order"))
     head = (
         placed.where(F.col("_order").isin([*before]))
         .groupBy("_order")
-        .agg(F.max("_text").alias("_text"))
-        .select(at.alias("_range"), F.lit(1).alias("_kind"), F.lit(-(2**63)).alias("_order"), F.lit(None).cast(df.schema[id_col].dataType).alias("_id"), "_text")
+        .agg(F.max_by("_text", "_tie").alias("_text"))
+        .select(at.alias("_range"), F.lit(1).alias("_kind"), F.lit(-(2**63)).alias("_order"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(df.schema[id_col].dataType).alias("_id"), "_text")
     )
-    return placed.select("_range", F.lit(0).alias("_kind"), "_order", "_id", "_text").unionByName(head)
+    return placed.select("_range", F.lit(0).alias("_kind"), "_order", "_tie", "_id", "_text").unionByName(head)
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2000) -> DataFrame:
@@ -152,8 +155,8 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_following(df, rows_per_range, id_col, text_col)
     id_type = df.schema[id_col].dataType
     n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    sorted_rows = rows.repartition(_partitions(rows, n), "_range").sortWithinPartitions(
-        "_range", "_kind", F.desc("_order"), F.desc("_text")
+    sorted_rows = pack(rows, "_text").repartition(_partitions(rows, n), "_range").sortWithinPartitions(
+        "_range", "_kind", F.desc("_order"), F.desc("_tie")
     )
     out = T.StructType(
         [
@@ -169,9 +172,11 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, with its signature, waiting for its following text
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns: list[list] = [[] for _ in out.fields]
             for kind, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpack(text).decode()
                 made = signature(text)
                 if last is not None:
                     before, was, sign = last

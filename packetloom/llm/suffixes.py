@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.storage import scratch_path
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import pack
 from packetloom.llm.vectors import mix
 
 #: bytes of a string that counts as repeated
@@ -302,7 +303,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "context", "shift", "bytes", "times"]
             )
 
-    joined = packed_texts(texts).dropDuplicates(["_id", "_mark"]).join(wanted, ["_id", "_mark"]).select("_packed", "wants")
+    joined = pack(texts, "_text").dropDuplicates(["_id", "_mark"]).join(wanted, ["_id", "_mark"]).select("_text", "wants")
     contexts = stored(joined.mapInArrow(extract, "key long, context long, shift long, bytes binary, times long"), "contexts")
     level = contexts.withColumns({"anchor_key": F.col("key"), "anchor_context": F.col("context")})
     solved = None
@@ -331,18 +332,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return alike.unionByName(mixed)
 
 
-def packed_texts(texts: DataFrame) -> DataFrame:
-    """``_id, _mark`` and the text's UTF-8 bytes compressed, which makes its shuffle small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            packed = pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["_id", "_mark", "_packed"])
-
-    return texts.select("_id", "_mark", "_text").mapInArrow(run, "_id long, _mark long, _packed binary")
-
-
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte of a 200-byte string that also starts anywhere else, the same document included.
 
@@ -380,8 +369,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     return (
-        packed_texts(texts)
+        pack(texts, "_text")
         .join(by_doc, ["_id", "_mark"], "left")
-        .select("_id", "_packed", "spans")
+        .select("_id", "_text", "spans")
         .mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     )
