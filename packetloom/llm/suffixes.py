@@ -22,9 +22,9 @@ LENGTH = 200
 _GRAM = 32
 _GRAMS = LENGTH - _GRAM + 1
 #: different contexts of one key that one suffix array takes; more are cut into narrower ones
-MOST = 64
+MOST = 256
 #: starts of a context, level by level; at one start a context is the string itself
-_WIDTHS = (_GRAMS, 16, 1)
+_WIDTHS = (_GRAMS, 85, 17, 1)
 _PIECE = 1 << 20
 
 _BYTE = np.random.default_rng(20240602).integers(0, 2**64, 256, np.uint64)
@@ -218,7 +218,7 @@ def _narrower(rows: DataFrame, width: int) -> DataFrame:
                     i, j = max(low, shift), min(high, last)
                     piece = data[i - shift : j - shift + LENGTH]
                     core = data[high - shift : low - shift + LENGTH] if low >= shift else data[max(0, high - shift) : low - shift + LENGTH]
-                    row = (a, c, _hash(key.to_bytes(8, "little", signed=True) + bytes([block % 256]) + core), _hash(piece + bytes([i - low])), i, piece, times)
+                    row = (a, c, _hash(key.to_bytes(8, "little", signed=True) + block.to_bytes(2, "little") + core), _hash((i - low).to_bytes(2, "little") + piece), i, piece, times)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             types = [*[pa.int64()] * 5, pa.binary(), pa.int64()]
