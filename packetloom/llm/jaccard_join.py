@@ -7,12 +7,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.storage import scratch_path
 from packetloom.llm.columns import whole
 from packetloom.llm.components import components
+from packetloom.llm.packing import pack
 from packetloom.llm.vectors import mix, shingle_sets
 
 #: share of all shingles, by hash, whose document frequency is counted; the rarest of them come first in a prefix
@@ -218,21 +220,41 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
     return by_query.mapInArrow(match, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _sketch(s: np.ndarray) -> bytes:
+    """The top 16 bits of every shingle, sorted: a quarter of the set's size."""
+    return (s >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def most_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets can share at most, by their sketches: equal shingles have equal ones."""
+    (u, cu), (v, cv) = (np.unique(z, return_counts=True) for z in (x, y))
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    return int(np.minimum(cu, cv[at])[v[at] == u].sum())
+
+
+def _filtered(pairs: DataFrame, sets: DataFrame, column: str, kind: type, overlap, t: Fraction) -> DataFrame:
+    """The pairs whose overlap by ``column`` suffices; each pair travels with one of its two values once."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                both = overlap(x, y)
                 keep.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("_id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("_id").alias("b"), F.col("set").alias("y"))
+    left = sets.select(F.col("_id").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("_id").alias("b"), F.col(column).alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs that are as similar as ``t``: most others fail by their sketches, the rest by their sets."""
+    likely = _filtered(pairs, sets, "sketch", np.uint16, most_overlap, t)
+    return _filtered(likely, sets, "set", np.uint64, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)), t)
+
+
 def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of documents whose shingle sets are as similar as ``threshold``.
 
@@ -279,12 +301,14 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     wanted = entries.groupBy("_id").agg(F.max(F.struct("held", "token")).alias("top")).select("_id", "top.*")
 
     def to_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in rows:
-            sets = [s.tobytes() for s in _sets(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], ["_id", "set", "held", "token"])
+            sets = list(_sets([unpack(t).decode() for t in batch.column(1).to_pylist()], size))
+            made = [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, _sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], ["_id", "set", "sketch", "held", "token"])
 
-    chosen = texts.join(wanted, "_id").select("_id", "_text", "held", "token")
-    sets = stored(chosen.mapInArrow(to_sets, "_id long, set binary, held long, token long").dropDuplicates(["_id"]), "sets")
+    chosen = pack(texts, "_text").join(wanted, "_id").select("_id", "_text", "held", "token")
+    sets = stored(chosen.mapInArrow(to_sets, "_id long, set binary, sketch binary, held long, token long").dropDuplicates(["_id"]), "sets")
     bucketed = sets.select("_id", "set", "token", F.pmod(F.xxhash64("_id"), F.ceil(F.col("held") / BUCKET)).alias("bucket"))
     links = stored(_bucket_links(bucketed, threshold), "links")
     labels = stored(components(links).withColumnRenamed("node", "_id"), "labels")
