@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import small
 
 # entries of each worker's memo of chunks and of words; full memos start anew
 _MEMO = 400_000
@@ -202,7 +203,7 @@ def _mapped(df: DataFrame, column: Column, kind: T.DataType, out: str, convert)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = convert()
-        for batch in rows:
+        for batch in small(rows):
             done = pa.array([run(x.as_py()) for x in batch.column(len(inner))], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], [*inner, "_out"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import small
 from packetloom.llm.vectors import fold, word_hashes
 
 # BM25
@@ -189,7 +190,7 @@ def index_passes(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     narrow = items.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).distinct()
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             words, bounds = terms_of(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["_id", "words"])
@@ -245,7 +246,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def _leaks(sent, names: list[str]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
-        for batch in rows:
+        for batch in small(rows):
             hits = _by_slices(index, batch.column(1).to_pylist())
             at = [i for i, h in enumerate(hits) for _ in h]
             items = [n for h in hits for n in h]
@@ -288,7 +289,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
 
 def _clean(sent):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             hits = _by_slices(sent.value, batch.column(batch.num_columns - 1).to_pylist())
             yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 

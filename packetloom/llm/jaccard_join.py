@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.storage import scratch_path
 from packetloom.llm.columns import whole
 from packetloom.llm.components import components
-from packetloom.llm.packing import pack
+from packetloom.llm.packing import pack, small
 from packetloom.llm.vectors import mix, shingle_sets
 
 #: share of all shingles, by hash, whose document frequency is counted; the rarest of them come first in a prefix
@@ -24,7 +24,7 @@ _CUT = np.uint64(int(COUNTED * 2**64))
 MOST_MATCHES, VERIFY_COST = 4, 20.0
 #: documents that are compared directly with each other in one go
 BUCKET = 256
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 def least_overlap(n: int, t: Fraction) -> int:
@@ -58,7 +58,7 @@ def _described(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             ns, h1, h2, low, more = [], [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), size):
                 cut = int(np.searchsorted(s, _CUT))
@@ -90,7 +90,7 @@ def _prefixes(docs: DataFrame, t: Fraction) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             out: tuple[list, ...] = ([], [], [], [], [])
             for own, n, n_low, common, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ranked = sorted((c["df"], c["token"]) for c in common or ())
@@ -236,7 +236,7 @@ def _filtered(pairs: DataFrame, sets: DataFrame, column: str, kind: type, overla
     """The pairs whose overlap by ``column`` suffices; each pair travels with one of its two values once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
@@ -302,7 +302,7 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
 
     def to_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in rows:
+        for batch in small(rows):
             sets = list(_sets([unpack(t).decode() for t in batch.column(1).to_pylist()], size))
             made = [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, _sketch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], ["_id", "set", "sketch", "held", "token"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.columns import whole
-from packetloom.llm.packing import pack
+from packetloom.llm.packing import pack, small
 from packetloom.llm.vectors import fold, mix
 
 K, TUPLE, CELLS = 8, 2, 64
@@ -93,7 +93,7 @@ def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint")
     narrow = df.select(*[F.col(f"`{n}`").alias(i) for n, i in zip(names, inner, strict=True)], whole(text_col).alias("_in"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             made = pa.array([_hex(signature(t)) for t in batch.column(len(inner)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*inner, "_out"])
 
@@ -173,7 +173,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, with its signature, waiting for its following text
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in small(batches):
             columns: list[list] = [[] for _ in out.fields]
             for kind, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unpack(text).decode()

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.storage import scratch_path
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import small
 from packetloom.llm.vectors import mix, word_hashes
 
 #: hash of the end token; no word has it, as words come out of ``mix`` with their length
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     texts = docs.select(whole(text_col).alias("_text"))
 
     def count_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             for _, _, own in _slices(batch.column(0).to_pylist()):
                 words, n = np.unique(tokens(own)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -240,7 +241,7 @@ def _fit_bigrams(spark: SparkSession, texts: DataFrame, model: Model) -> Model:
 
     def count_bigrams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(model)
-        for batch in rows:
+        for batch in small(rows):
             for _, _, own in _slices(batch.column(0).to_pylist()):
                 before, count_before, ids, _, _, _ = _pairs(arrays, own, stats=False)
                 keys, shard = _keys(model, before, count_before, ids)
@@ -381,7 +382,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(sent.value)
-        for batch in rows:
+        for batch in small(rows):
             for a, b, own in _slices(batch.column(len(inner)).to_pylist()):
                 scored = _score(arrays, own)
                 kept = [c.slice(a, b - a) for c in batch.columns[:-1]]

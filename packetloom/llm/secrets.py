@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.storage import cut_lineage
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import small
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -89,7 +90,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """``id_col``, the base spans and the candidates of each whole text, in one pass without a shuffle."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             spans, found = [], []
             for text in batch.column(1).to_pylist():
                 raw = text.encode()
@@ -164,7 +165,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = Novelty(dictionary.value).ratio
-        for batch in rows:
+        for batch in small(rows):
             spans = []
             for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = {(s["start"], s["end"]) for s in base}

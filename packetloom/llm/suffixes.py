@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.storage import scratch_path
 from packetloom.llm.columns import whole
-from packetloom.llm.packing import pack
+from packetloom.llm.packing import pack, small
 from packetloom.llm.vectors import mix
 
 #: bytes of a string that counts as repeated
@@ -176,7 +176,7 @@ def _sorted_runs(rows: DataFrame) -> DataFrame:
             found = repeated_starts([(bytes_, times) for _, _, bytes_, times in held])
             out += [(key, c, _runs(s, shift)) for (c, shift, _, _), s in zip(held, found, strict=True)]
 
-        for batch in batches:
+        for batch in small(batches):
             out: list = []
             for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key and held:
@@ -208,7 +208,7 @@ def _narrower(rows: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for a, c, key, shift, data, times in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 last = shift + len(data) - LENGTH
@@ -250,7 +250,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return spark.read.schema(df.schema).parquet(path)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for part in anchors(text.encode()):
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for packed, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = unpack(packed)
@@ -346,7 +346,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for own, packed, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = unpack(packed)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from packetloom.llm import vectors
 from packetloom.llm.columns import whole
+from packetloom.llm.packing import small
 
 # --- the channel: what a writer may put in place of a letter, as log probabilities ---
 LEET = {
@@ -190,7 +191,7 @@ def _trigrams(texts: DataFrame) -> np.ndarray:
             low = chr(o).lower()
             table[o] = _code(low) if len(low) == 1 else 0
         total = np.zeros(_CODES**3, np.int64)
-        for batch in rows:
+        for batch in small(rows):
             for text in batch.column(0).to_pylist():
                 points = np.frombuffer((" " + text + " ").encode("utf-32-le", "replace"), np.uint32)
                 c = np.where(points < 0x3000, table[np.minimum(points, 0x2FFF)], 27 + points % 36)
@@ -213,7 +214,7 @@ def _lexicon(labelled: DataFrame) -> list[str]:
     """Words that mark toxic documents: log-odds at least ``_MIN_Z`` standard errors above 0, counted over all rows."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[toxic].update({w for t in set(text.encode().split()) if (w := plain_word(t)) and len(w) <= 64})
@@ -261,7 +262,7 @@ def _copies(docs: DataFrame) -> DataFrame:
     """``_id`` and ``_key``, the smallest hash of the text's five-word shingles: near copies mostly share it."""
 
     def smallest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in small(rows):
             keys = []
             for text in batch.column(1).to_pylist():
                 shingles = vectors.shingle_sets([text.encode()], 5)[0]
@@ -294,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(start)
-        for batch in batches:
+        for batch in small(batches):
             found = [sorted(scorer.found(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
@@ -320,7 +321,7 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in rows:
+        for batch in small(rows):
             texts = batch.column(len(inner)).to_pylist()
             scores = pa.array([scorer.score(t) for t in texts], pa.float64())
             clean = pa.array([scorer.restorer.text(t) if restored else None for t in texts], pa.string())

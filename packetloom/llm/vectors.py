@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 # a random number per byte; A-Z as a-z
 _BYTE = np.random.default_rng(20240601).integers(0, 2**64, 256, np.uint64)[_LOWER]
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are maximal runs without ASCII white space. Text ``i`` has the hashes
     ``[bounds[i], bounds[i + 1])``. Memory beyond the result is some 40 bytes per
-    byte of a two-megabyte stretch (or of the longest word).
+    byte of a half-megabyte stretch (or of the longest word).
     """
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     space = SPACE[raw]
@@ -78,7 +78,7 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         gap = space[at:end]
         edges = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
         first, past = edges[::2], edges[1::2]
-        power, inverse = _powers(max(_SEGMENT, 1 << (end - at).bit_length()))
+        power, inverse = _powers(max(_SEGMENT, 1 << (end - at - 1).bit_length()))
         summed = np.zeros(end - at + 1, np.uint64)
         np.cumsum(_BYTE[raw[at:end]] * power[: end - at], out=summed[1:])
         word = (summed[past] - summed[first]) * inverse[first]
