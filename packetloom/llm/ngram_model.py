@@ -70,6 +70,11 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(temporary, f"{folder}/{name}.npy")
 
 
+def _narrow(array: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds the largest number."""
+    return array.astype(np.min_scalar_type(int(array.max(initial=0))))
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that all words share."""
@@ -198,7 +203,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     texts = docs.select(whole(text_col).alias("_text"))
 
     def count_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(rows):
+        for batch in rows:
             for _, _, own in _slices(batch.column(0).to_pylist()):
                 words, n = np.unique(tokens(own)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +218,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             words, at = np.unique(word[own].view(np.uint64), return_inverse=True)
             counts = np.bincount(at, n[own], len(words)).astype(np.int64)
             _save(folder, f"words-{s}", words)
-            _save(folder, f"counts-{s}", counts)
+            _save(folder, f"counts-{s}", _narrow(counts))
             ends = counts[words == END]
             found.append((s, len(words), int(counts.sum()), int(ends.sum())))
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "words", "tokens", "ends"), f, strict=True)) for f in found], _SHARD)
@@ -241,7 +246,7 @@ def _fit_bigrams(spark: SparkSession, texts: DataFrame, model: Model) -> Model:
 
     def count_bigrams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(model)
-        for batch in small(rows):
+        for batch in rows:
             for _, _, own in _slices(batch.column(0).to_pylist()):
                 before, count_before, ids, _, _, _ = _pairs(arrays, own, stats=False)
                 keys, shard = _keys(model, before, count_before, ids)
@@ -259,7 +264,7 @@ def _fit_bigrams(spark: SparkSession, texts: DataFrame, model: Model) -> Model:
             first = _ends(keys)
             keys, times = keys[first], np.add.reduceat(times, first)
             _save(folder, f"bigrams-{s}", keys)
-            _save(folder, f"times-{s}", times.astype(np.uint32 if times.max() < 2**32 else np.uint64))
+            _save(folder, f"times-{s}", _narrow(times))
             pair = _unmix(keys)
             before, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             seen, at = np.unique(before, return_inverse=True)
@@ -285,7 +290,7 @@ def _fit_bigrams(spark: SparkSession, texts: DataFrame, model: Model) -> Model:
             table = np.zeros((len(_WORD_STATS), int(ends[s] - model.offsets[s])), np.int64)
             for line, number in zip(table, numbers, strict=True):
                 line[ids[own] - model.offsets[s]] = number[own]
-            _save(folder, f"stats-{s}", table)
+            _save(folder, f"stats-{s}", _narrow(table))
             of += np.bincount(np.minimum(table[3], 5), minlength=6)[1:]
         yield pa.RecordBatch.from_arrays([pa.array([*range(1, 6), 0]), pa.array([*of.tolist(), 0])], ["k", "n"])
 
