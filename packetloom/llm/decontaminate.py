@@ -38,10 +38,10 @@ def terms_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.lower().encode().translate(_PUNCTUATION) for t in texts])
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    if len(words) < SHINGLE:
-        return fold([words[i : i + 1] for i in range(len(words))]) if len(words) else words
-    return np.unique(fold([words[i : len(words) - SHINGLE + 1 + i] for i in range(SHINGLE)]))
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    if len(words) < size:
+        return words[:0]
+    return np.unique(fold([words[i : len(words) - size + 1 + i] for i in range(size)]))
 
 
 @dataclass
@@ -51,13 +51,18 @@ class Item:
     terms: np.ndarray  # distinct hashes
     impacts: np.ndarray  # BM25 of each term in this item, as shares of their sum
 
+    @property
+    def size(self) -> int:
+        """Words of a shingle: ``SHINGLE``, or the whole item if it is shorter."""
+        return min(SHINGLE, len(self.words))
+
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of the question and of the answer. An item too short to part is all question."""
+        """Shingles of the question and of the answer. An item too short to part is both as a whole."""
         n = len(self.words)
         cut = n - max(SHINGLE, round(n * ANSWER))
         if cut < SHINGLE:
-            return _shingles(self.words), _shingles(self.words)
-        return _shingles(self.words[:cut]), _shingles(self.words[cut:])
+            return (_shingles(self.words, self.size),) * 2
+        return _shingles(self.words[:cut], SHINGLE), _shingles(self.words[cut:], SHINGLE)
 
 
 @dataclass
@@ -173,8 +178,8 @@ class Index:
             query = np.unique(number[a:b])
             found = self.retrieve(query[query < len(self.terms)].tolist(), RETRIEVE)
             if found:
-                held = _shingles(words[a:b])
                 for n, score in found:
+                    held = _shingles(words[a:b], self.items[n].size)
                     question, answer = (float(np.isin(p, held).mean()) for p in self.parts[n])
                     if min(question, answer) >= OVERLAP:
                         out[text][n] = max(out[text].get(n, (0.0, 0.0, 0.0)), (score, question, answer))

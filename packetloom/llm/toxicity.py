@@ -214,7 +214,7 @@ def _lexicon(labelled: DataFrame) -> list[str]:
     """Words that mark toxic documents: log-odds at least ``_MIN_Z`` standard errors above 0, counted over all rows."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(rows):
+        for batch in rows:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[toxic].update({w for t in set(text.encode().split()) if (w := plain_word(t)) and len(w) <= 64})
