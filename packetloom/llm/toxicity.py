@@ -24,7 +24,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 JUNK = set("*#$%&.,-_~^+=|'\"`:;/\\!?<>[](){}")
-_LEET_COST, _JUNK_COST, _REPEAT_COST, _ODD_COST = -2.5, -4.0, -2.5, -3.0
+_LEET_COST, _JUNK_COST, _REPEAT_COST, _ODD_COST = -2.5, -3.0, -2.5, -5.0
 _EDGES = b".,;:?!\"'()[]{}<>"
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _RUN = re.compile(r"(.)\1\1")

@@ -373,7 +373,7 @@ def test_toxicity(spark, docs, empty):
     tests = ["you idiot", "you 1d10t !", "you i d i o t", "w0r7hl3ss", "id*i*ot", "moooooron", "alpha bravo kilo", "", None]
     frame = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
     got = {r["doc_id"]: (r["score"], r["restored"]) for r in toxicity.score(frame, model, restored="restored").collect()}
-    assert all(got[i][0] > 0.5 for i in range(6)), got
+    assert [got[i][1] for i in range(6) if got[i][0] <= 0.5] == []
     assert all(got[i][0] < 0.5 for i in (6, 7, 8)), got
     assert "idiot" in got[1][1] and got[3][1] == "worthless"
     assert toxicity.score(docs, model).columns == ["doc_id", "text", "_doc", "n_lines", "score"]
