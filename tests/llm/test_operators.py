@@ -370,7 +370,7 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.fit(
         spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     )
-    tests = ["you idiot", "you 1d10t !", "you i d i o t", "w0r7hl3ss", "id*i*ot", "moooooron", "alpha bravo kilo", "", None]
+    tests = ["you idiot", "you 1d10t !", "you i d i o t", "w0r7hl3ss", "id*i*ot", "idiooooot", "alpha bravo kilo", "", None]
     frame = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
     got = {r["doc_id"]: (r["score"], r["restored"]) for r in toxicity.score(frame, model, restored="restored").collect()}
     assert [got[i][1] for i in range(6) if got[i][0] <= 0.5] == []
