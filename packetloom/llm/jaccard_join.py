@@ -17,9 +17,6 @@ from packetloom.llm.components import components
 from packetloom.llm.packing import pack, small
 from packetloom.llm.vectors import mix, shingle_sets
 
-#: share of all shingles, by hash, whose document frequency is counted; the rarest of them come first in a prefix
-COUNTED = 0.15
-_CUT = np.uint64(int(COUNTED * 2**64))
 #: most shared prefix shingles that a document may ask for, and the cost of a verification in postings
 MOST_MATCHES, VERIFY_COST = 4, 20.0
 #: documents that are compared directly with each other in one go
@@ -32,6 +29,11 @@ def least_overlap(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
+def counted_share(t: Fraction) -> float:
+    """Share of all shingles, by hash, whose document frequency is counted: a little more than prefixes need."""
+    return 0.08 + 0.7 * float(1 - t)
+
+
 def _prefix_tail(n: int, t: Fraction, matches: int) -> int:
     """Length of the prefix in which ``matches`` shared shingles can be asked for."""
     return min(n, n - least_overlap(n, t) + matches)
@@ -57,11 +59,13 @@ def _described(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
     few for the prefix, the next ones in order of their hash.
     """
 
+    below = np.uint64(int(counted_share(t) * 2**64))
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
             ns, h1, h2, low, more = [], [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), size):
-                cut = int(np.searchsorted(s, _CUT))
+                cut = int(np.searchsorted(s, below))
                 need = max(0, _prefix_tail(len(s), t, MOST_MATCHES) - cut)
                 ns.append(len(s))
                 h1.append(int(mix(s).sum().view(np.int64)))
@@ -145,12 +149,12 @@ def _forest(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _bucket_links(members: DataFrame, t: Fraction) -> DataFrame:
+def _bucket_links(members: DataFrame, size: int, t: Fraction) -> DataFrame:
     """Compare the documents of each bucket (at most about ``BUCKET``) with each other."""
 
     def links(table: pa.Table) -> pa.Table:
         ids = table.column("_id").to_pylist()
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        sets = _unpacked_sets(table.column("_text").to_pylist(), size)
         found = []
         for a in range(0, len(ids), 2 * BUCKET):  # a bucket dealt by hash is rarely this large
             own = sets[a : a + 2 * BUCKET]
@@ -232,27 +236,38 @@ def most_overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(cu, cv[at])[v[at] == u].sum())
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame, column: str, kind: type, overlap, t: Fraction) -> DataFrame:
+def _unpacked_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return list(_sets([unpack(t).decode() for t in texts], size))
+
+
+def _filtered(pairs: DataFrame, kept: DataFrame, column: str, values, overlap, t: Fraction) -> DataFrame:
     """The pairs whose overlap by ``column`` suffices; each pair travels with one of its two values once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+            for x, y in zip(*(values(batch.column(i).to_pylist()) for i in (2, 3)), strict=True):
                 both = overlap(x, y)
                 keep.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("_id").alias("a"), F.col(column).alias("x"))
-    right = sets.select(F.col("_id").alias("b"), F.col(column).alias("y"))
+    left = kept.select(F.col("_id").alias("a"), F.col(column).alias("x"))
+    right = kept.select(F.col("_id").alias("b"), F.col(column).alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, kept: DataFrame, size: int, t: Fraction) -> DataFrame:
     """The pairs that are as similar as ``t``: most others fail by their sketches, the rest by their sets."""
-    likely = _filtered(pairs, sets, "sketch", np.uint16, most_overlap, t)
-    return _filtered(likely, sets, "set", np.uint64, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)), t)
+
+    def sketches(values: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(v, np.uint16) for v in values]
+
+    def both(x: np.ndarray, y: np.ndarray) -> int:
+        return len(np.intersect1d(x, y, assume_unique=True))
+
+    likely = _filtered(pairs, kept, "sketch", sketches, most_overlap, t)
+    return _filtered(likely, kept, "_text", lambda v: _unpacked_sets(v, size), both, t)
 
 
 def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,19 +315,19 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     entries = stored(entries.join(shared, "token").drop("df"), "postings")
     wanted = entries.groupBy("_id").agg(F.max(F.struct("held", "token")).alias("top")).select("_id", "top.*")
 
-    def to_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+    def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
-            sets = list(_sets([unpack(t).decode() for t in batch.column(1).to_pylist()], size))
-            made = [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, _sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], ["_id", "set", "sketch", "held", "token"])
-
-    chosen = pack(texts, "_text").join(wanted, "_id").select("_id", "_text", "held", "token")
-    sets = stored(chosen.mapInArrow(to_sets, "_id long, set binary, sketch binary, held long, token long").dropDuplicates(["_id"]), "sets")
-    bucketed = sets.select("_id", "set", "token", F.pmod(F.xxhash64("_id"), F.ceil(F.col("held") / BUCKET)).alias("bucket"))
-    links = stored(_bucket_links(bucketed, threshold), "links")
+            made = [_sketch(s) for s in _unpacked_sets(batch.column(1).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "sketch"])
+
+    # texts travel compressed, a third of the size of their sets; of several texts of one id the smallest counts
+    once = pack(texts, "_text").groupBy("_id").agg(F.min("_text").alias("_text"))
+    chosen = once.join(wanted, "_id").select("_id", "_text", "held", "token")
+    kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary"), "kept")
+    bucketed = kept.select("_id", "_text", "token", F.pmod(F.xxhash64("_id"), F.ceil(F.col("held") / BUCKET)).alias("bucket"))
+    links = stored(_bucket_links(bucketed, size, threshold), "links")
     labels = stored(components(links).withColumnRenamed("node", "_id"), "labels")
-    found = stored(_verified(_candidates(entries.drop("held"), labels, threshold), sets, threshold), "links")
+    found = stored(_verified(_candidates(entries.drop("held"), labels, threshold), kept, size, threshold), "links")
     final = components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component", "rep")).alias("component_id")
