@@ -44,9 +44,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their tokens: ``n_tokens``, packed ``ids`` and the hash of the decoded text."""
-    encoded = bpe.encode(docs, VOCABULARY).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
-    decoded = bpe.decode(encoded, VOCABULARY, out="_decoded")
-    return decoded.withColumn("decoded_sha256", F.sha2("_decoded", 256)).drop("_decoded")
+    encoded = bpe.encode(docs, VOCABULARY, decoded="_decoded")
+    return encoded.withColumns(
+        {"n_tokens": (F.octet_length("ids") / 4).cast("long"), "decoded_sha256": F.sha2("_decoded", 256)}
+    ).drop("_decoded")
 
 
 STAGES = [

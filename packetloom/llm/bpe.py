@@ -18,7 +18,7 @@ from packetloom.llm.columns import whole
 from packetloom.llm.packing import small
 
 # entries of each worker's memo of chunks and of words; full memos start anew
-_MEMO = 400_000
+_MEMO = 120_000
 # in fragments of more symbols, merges go through a heap instead of a rescan
 _SHORT = 64
 # code points of a chunk that the memo still holds
@@ -194,38 +194,50 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _mapped(df: DataFrame, column: Column, kind: T.DataType, out: str, convert) -> DataFrame:
-    """``df`` with ``out``, computed batch by batch from ``column``; the other columns only pass through."""
-    names = [c for c in df.columns if c.lower() != out.lower()]
+def _mapped(df: DataFrame, column: Column, added: dict[str, T.DataType], convert) -> DataFrame:
+    """``df`` with the ``added`` columns, computed batch by batch from ``column``; the others only pass through."""
+    names = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
     inner = [f"_c{i}" for i in range(len(names))]  # names may clash or hold dots
     narrow = df.select(*[F.col(f"`{n}`").alias(i) for n, i in zip(names, inner, strict=True)], column.alias("_in"))
-    arrow = pa.binary() if kind == T.BinaryType() else pa.string()
+    outer = [f"_o{i}" for i in range(len(added))]
+    arrow = [pa.binary() if t == T.BinaryType() else pa.string() for t in added.values()]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = convert()
         for batch in small(rows):
-            done = pa.array([run(x.as_py()) for x in batch.column(len(inner))], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], [*inner, "_out"])
+            done = [run(x) for x in batch.column(len(inner)).to_pylist()]
+            made = [pa.array([d[i] for d in done], t) for i, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*inner, *outer])
 
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in narrow.schema.fields[:-1]], T.StructField("_out", kind)])
+    kinds = [T.StructField(o, t) for o, t in zip(outer, added.values(), strict=True)]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in narrow.schema.fields[:-1]], *kinds])
     return narrow.mapInArrow(batches, schema).select(
-        *[F.col(i).alias(n) for n, i in zip(names, inner, strict=True)], F.col("_out").alias(out)
+        *[F.col(i).alias(n) for n, i in zip(names, inner, strict=True)],
+        *[F.col(o).alias(a) for o, a in zip(outer, added, strict=True)],
     )
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text, as packed little-endian unsigned 32-bit integers.
 
     Ids equal those of the library without added special tokens, truncation or
-    padding. Null text encodes as the empty text, to no ids. No shuffle; each
+    padding. Null text encodes as the empty text, to no ids. With ``decoded`` the
+    ids are decoded again into that column, by the same worker. No shuffle; each
     worker remembers the most recent chunks and words (a fixed number of them).
     """
     file = _vocabulary(df, vocabulary)
+    added = {out: T.BinaryType()} | ({decoded: T.StringType()} if decoded else {})
 
     def start():
-        return _coder(file.value).encode
+        coder = _coder(file.value)
 
-    return _mapped(df, whole(text_col), T.BinaryType(), out, start)
+        def both(text: str) -> tuple:
+            ids = coder.encode(text)
+            return (ids, coder.decode(ids)) if decoded else (ids,)
+
+        return both
+
+    return _mapped(df, whole(text_col), added, start)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -233,6 +245,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "dec
     file = _vocabulary(df, vocabulary)
 
     def start():
-        return _coder(file.value).decode
+        coder = _coder(file.value)
+        return lambda ids: (coder.decode(ids),)
 
-    return _mapped(df, F.coalesce(F.col(ids_col), F.lit(b"")), T.StringType(), out, start)
+    return _mapped(df, F.coalesce(F.col(ids_col), F.lit(b"")), {out: T.StringType()}, start)
