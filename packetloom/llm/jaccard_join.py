@@ -21,6 +21,7 @@ from packetloom.llm.vectors import mix, shingle_sets
 MOST_MATCHES, VERIFY_COST = 4, 20.0
 #: documents that are compared directly with each other in one go
 BUCKET = 256
+DEALS = 3
 _SLICE = 1 << 20
 
 
@@ -165,7 +166,7 @@ def _bucket_links(members: DataFrame, size: int, t: Fraction) -> DataFrame:
             found += _forest(ids[a : a + 2 * BUCKET], linked)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return members.groupBy("token", "bucket").applyInArrow(links, "a long, b long")
+    return members.groupBy("token", "deal", "bucket").applyInArrow(links, "a long, b long")
 
 
 def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
@@ -324,7 +325,11 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     once = pack(texts, "_text").groupBy("_id").agg(F.min("_text").alias("_text"))
     chosen = once.join(wanted, "_id").select("_id", "_text", "held", "token")
     kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary"), "kept")
-    bucketed = kept.select("_id", "_text", "token", F.pmod(F.xxhash64("_id"), F.ceil(F.col("held") / BUCKET)).alias("bucket"))
+    # where several buckets share a shingle, its documents are dealt anew twice, which joins groups of different buckets
+    deals = F.when(F.col("held") > BUCKET, F.lit(DEALS - 1)).otherwise(F.lit(0))
+    bucketed = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), deals))).select(
+        "_id", "_text", "token", "deal", F.pmod(F.xxhash64("_id", "deal"), F.ceil(F.col("held") / BUCKET)).alias("bucket")
+    )
     links = stored(_bucket_links(bucketed, size, threshold), "links")
     labels = stored(components(links).withColumnRenamed("node", "_id"), "labels")
     found = stored(_verified(_candidates(entries.drop("held"), labels, threshold), kept, size, threshold), "links")
