@@ -176,6 +176,7 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
     component query the postings, which are cut into blocks; pairs within one
     component need no look.
     """
+    fields = ("_id", "n", "matches", "component")
     labelled = entries.join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = (
@@ -188,9 +189,11 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
     blocks = (
         marked.withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(F.col("total") / BUCKET)))
         .groupBy("token", "block")
-        .agg(F.collect_list(F.struct("_id", "n", "matches", "component")).alias("posts"))
+        .agg(F.sort_array(F.collect_list(F.struct("_id", "n", "matches", "component"))).alias("posts"))
+        # an array per field: sorted ids and near equal numbers shrink well in a shuffle, structs do not
+        .select("token", *[F.col(f"posts.{f}").alias(f"post{f}") for f in fields])
     )
-    asked = marked.where("asks").select("token", "_id", "n", "matches", "component").join(blocks.select("token", "posts"), "token")
+    asked = marked.where("asks").select("token", *fields).join(blocks, "token")
 
     def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, held = None, []
@@ -207,9 +210,8 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
 
         for batch in rows:
             found = []
-            posts = batch.column(4)
-            values = np.stack([posts.values.field(i).to_numpy() for i in range(4)], 1) if len(posts.values) else np.zeros((0, 4), np.int64)
-            offsets = posts.offsets.to_numpy()
+            values = np.stack([batch.column(4 + i).values.to_numpy() for i in range(4)], 1)
+            offsets = batch.column(4).offsets.to_numpy()
             for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
                 if query is not None and row[0] != query[0]:
                     found += pairs()
@@ -221,7 +223,7 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
             last = pairs()
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in last], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    by_query = asked.repartition("_id").sortWithinPartitions("_id").select("_id", "n", "matches", "component", "posts")
+    by_query = asked.repartition("_id").sortWithinPartitions("_id").select(*fields, *[f"post{f}" for f in fields])
     return by_query.mapInArrow(match, "a long, b long").distinct()
 
 
