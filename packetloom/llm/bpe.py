@@ -18,7 +18,7 @@ from packetloom.llm.columns import whole
 from packetloom.llm.packing import small
 
 # entries of each worker's memo of chunks and of words; full memos start anew
-_MEMO = 120_000
+_MEMO = 450_000
 # in fragments of more symbols, merges go through a heap instead of a rescan
 _SHORT = 64
 # code points of a chunk that the memo still holds
