@@ -43,7 +43,7 @@ def write_report(report: DataFrame, path: str, format: str = "csv") -> None:
     files follow one another in order.
     """
     ordered = report.repartitionByRange(EPOCH, "position").sortWithinPartitions(EPOCH, "position")
-    writer = ordered.write.mode("overwrite").partitionBy(EPOCH).format(format)
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(EPOCH).format(format)
     if format == "csv":
         writer = writer.option("header", True)
     writer.save(path)
