@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.functions.storage import scratch_path
 from packetloom.llm import vectors
 from packetloom.llm.columns import whole
 from packetloom.llm.packing import small
@@ -39,6 +40,7 @@ FIT_ROWS = 50_000
 _MIN_Z = 4.0
 _RIDGE = 1.0
 _MEMO = 300_000
+_SLICE = 1 << 18
 
 
 def _code(ch: str) -> int:
@@ -182,6 +184,20 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
+def _joined(texts: list[str]) -> Iterator[str]:
+    """The texts with two boundaries before each and one at the end, some ``_SLICE`` characters at a time."""
+    own: list[str] = []
+    size = 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size >= _SLICE:
+            yield "  " + "  ".join(own) + " "
+            own, size = [], 0
+    if own:
+        yield "  " + "  ".join(own) + " "
+
+
 def _trigrams(texts: DataFrame) -> np.ndarray:
     """Counts of character trigrams of all texts; at most 63^3 numbers leave the job."""
 
@@ -192,8 +208,8 @@ def _trigrams(texts: DataFrame) -> np.ndarray:
             table[o] = _code(low) if len(low) == 1 else 0
         total = np.zeros(_CODES**3, np.int64)
         for batch in small(rows):
-            for text in batch.column(0).to_pylist():
-                points = np.frombuffer((" " + text + " ").encode("utf-32-le", "replace"), np.uint32)
+            for text in _joined(batch.column(0).to_pylist()):
+                points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
                 c = np.where(points < 0x3000, table[np.minimum(points, 0x2FFF)], 27 + points % 36)
                 # a word's first letter follows two boundaries
                 prior = np.where(c[1:-1] == 0, 0, c[:-2])
@@ -263,34 +279,38 @@ def _logistic(found: list[list[int]], labels: np.ndarray, size: int) -> tuple[np
     return w, bias
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """``_id`` and ``_key``, the smallest hash of the text's five-word shingles: near copies mostly share it."""
+def _keyed(labelled: DataFrame) -> DataFrame:
+    """``_id, toxic, _text`` with ``_key``, the smallest hash of the text's five-word shingles: near copies mostly share it."""
 
     def smallest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
             keys = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 shingles = vectors.shingle_sets([text.encode()], 5)[0]
                 keys.append(int(shingles[0].view(np.int64)) if len(shingles) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["_id", "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "_key"])
 
-    return docs.mapInArrow(smallest, T.StructType([docs.schema.fields[0], T.StructField("_key", T.LongType())]))
+    return labelled.mapInArrow(smallest, T.StructType([*labelled.schema.fields, T.StructField("_key", T.LongType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
     """Learn from the ``docs`` that ``labels`` marks 0 or 1, with character counts of all ``docs``.
 
     Of near copies with the same label only one counts, else the words of a much
-    copied toxic text would look toxic. Word counts cover all other labelled
-    rows. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
+    copied toxic text would look toxic. Labelled texts are joined and written
+    once; word counts cover all of them that are left. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
     smallest hash of their id. The lexicon holds at most ``MAX_LEXICON`` words.
     Rows without a label or an id are ignored; without both classes every score
     is the same.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    chosen = marks.join(_copies(texts), "_id").groupBy("_key", "toxic").agg(F.min("_id").alias("_id"))
-    rows = texts.join(chosen.select("_id", "toxic").distinct(), "_id").select("_text", "toxic", F.xxhash64("_id").alias("_order"))
+    path = scratch_path(docs.sparkSession, "labelled")
+    keyed = _keyed(texts.join(marks.distinct(), "_id").select("_id", "toxic", "_text"))
+    keyed.write.parquet(path)
+    labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
+    chosen = labelled.groupBy("_key", "toxic").agg(F.min("_id").alias("_id")).select("_id", "toxic").distinct()
+    rows = labelled.join(chosen, ["_id", "toxic"]).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
     words = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:
