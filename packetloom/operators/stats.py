@@ -13,6 +13,8 @@ from packetloom.operators.counters import build_counters, look_up
 from packetloom.operators.relational import _value, reduce_exact
 
 LIGHT_MAX = 255  # light counters have 8 bits
+#: parts of an epoch whose keys are ranked apart before the epoch is
+SLICES = 64
 
 
 def linear_counting(width: int, empty: Column) -> Column:
@@ -129,12 +131,16 @@ def light_query(
 def heavy_hitters(df: DataFrame, keys: Sequence[str], value: Column | str | int, k: int, out: str = "count") -> DataFrame:
     """The ``k`` keys with the largest sums in each epoch, ties by key.
 
-    Spark keeps only ``k`` rows per epoch and task before the shuffle to the ranking window.
+    Keys are ranked within ``SLICES`` slices of an epoch first, so the window that
+    ranks an epoch sees ``k`` rows per slice at most, whatever ``k`` is.
     """
-    best = Window.partitionBy(EPOCH).orderBy(F.desc(out), *keys)
+    order = [F.desc(out), *keys]
+    sliced = reduce_exact(df, keys, value, out).withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES)))
     return (
-        reduce_exact(df, keys, value, out)
-        .withColumn("position", F.row_number().over(best))
+        sliced.withColumn("position", F.row_number().over(Window.partitionBy(EPOCH, "_slice").orderBy(*order)))
+        .where(F.col("position") <= k)
+        .drop("_slice")
+        .withColumn("position", F.row_number().over(Window.partitionBy(EPOCH).orderBy(*order)))
         .where(F.col("position") <= k)
     )
 

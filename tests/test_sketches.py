@@ -306,11 +306,12 @@ def test_fold_keeps_the_largest(packets):
 
 
 def test_heavy_hitters(packets, exact):
-    got = stats.heavy_hitters(packets, KEYS, "total_len", 5).collect()
-    for epoch in range(3):
-        best = sorted(((-v, k) for k, v in exact.items() if k[0] == epoch))[:5]
-        mine = sorted((r.position, r.src_ip, r.dst_ip, r["count"]) for r in got if r[EPOCH] == epoch)
-        assert mine == [(i + 1, k[1], k[2], -v) for i, (v, k) in enumerate(best)]
+    for k in (5, 5000):
+        got = stats.heavy_hitters(packets, KEYS, "total_len", k).collect()
+        for epoch in range(3):
+            best = sorted(((-v, key) for key, v in exact.items() if key[0] == epoch))[:k]
+            mine = sorted((r.position, r.src_ip, r.dst_ip, r["count"]) for r in got if r[EPOCH] == epoch)
+            assert mine == [(i + 1, key[1], key[2], -v) for i, (v, key) in enumerate(best)]
     counts = by_key(reduce_exact(packets, ["src_ip"], 1), ["src_ip"], "count")
     approx = stats.heavy_hitters_approx(packets, ["src_ip"], 5).collect()
     for epoch in range(3):
