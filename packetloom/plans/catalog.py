@@ -343,19 +343,19 @@ _QUERIES["q8_bloom_cms"] = _packets(
 @register("stream_q1")
 def stream_q1(spark, folder):
     frames = windows.stream_events_as_frames(spark, folder)
-    return windows.run_to_table(windows.new_tcp_connections(frames, DAY, 2), "stream_q1")
+    return windows.run_to_table(windows.new_tcp_connections(frames, DAY, 2, delay="0 seconds"), "stream_q1")
 
 
 @register("stream_q3")
 def stream_q3(spark, folder):
     frames = windows.stream_events_as_frames(spark, folder)
-    return windows.run_to_table(windows.superspreader(frames, DAY, 10), "stream_q3")
+    return windows.run_to_table(windows.superspreader(frames, DAY, 10, delay="0 seconds"), "stream_q3")
 
 
 @register("stream_q6")
 def stream_q6(spark, folder):
     frames = windows.stream_events_as_frames(spark, folder)
-    return windows.run_to_table(windows.syn_flood(frames, DAY, 8), "stream_q6")
+    return windows.run_to_table(windows.syn_flood(frames, DAY, 8, delay="0 seconds"), "stream_q6")
 
 
 @register("stream_q1_flushed")

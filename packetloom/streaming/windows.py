@@ -35,9 +35,11 @@ def stream_events_as_frames(spark: SparkSession, folder: str, max_files_per_trig
     return frames_from_events(reader.parquet(f"{folder}/events.parque[t]"))
 
 
-def windowed(frames: DataFrame, seconds: int, origin: int = 0, delay: str = "0 seconds") -> DataFrame:
-    """Add the epoch window. ``origin`` is any epoch start; rows later than ``delay`` behind
-    the newest are dropped once their window is closed."""
+def windowed(frames: DataFrame, seconds: int, origin: int = 0, delay: str | None = None) -> DataFrame:
+    """Add the epoch window. ``origin`` is any epoch start. Rows of a stream later than ``delay``
+    behind the newest are dropped once their window is closed, so a stream must name it."""
+    if frames.isStreaming and delay is None:
+        raise ValueError("a stream needs a delay, after which late rows are dropped")
     window = F.window("ts", f"{seconds} seconds", f"{seconds} seconds", f"{origin % seconds} seconds")
     watermarked = frames.withWatermark("ts", delay) if frames.isStreaming else frames
     return watermarked.withColumn("window", window)

@@ -32,7 +32,7 @@ def rows(df):
 def test_stream_equals_batch_on_closed_windows(spark, query, threshold):
     batch = rows(query(read_events_as_frames(spark, FOLDER), DAY, threshold))
     last = max(r[0] for r in batch)
-    stream = windows.run_to_table(query(windows.stream_events_as_frames(spark, FOLDER), DAY, threshold), "closed")
+    stream = windows.run_to_table(query(windows.stream_events_as_frames(spark, FOLDER), DAY, threshold, delay="0 seconds"), "closed")
     assert rows(stream) == [r for r in batch if r[0] < last]
 
 
@@ -43,14 +43,14 @@ def test_several_files_per_stream(spark, four_files):
     # a watermark far behind closes nothing
     assert stream == []
     source = windows.stream_events_as_frames(spark, four_files, max_files_per_trigger=4)
-    stream = rows(windows.run_to_table(windows.new_tcp_connections(source, DAY, 1), "many"))
+    stream = rows(windows.run_to_table(windows.new_tcp_connections(source, DAY, 1, delay="0 seconds"), "many"))
     assert stream == [r for r in batch if r[0] < max(b[0] for b in batch)]
 
 
 def test_flush_adds_the_open_window(spark):
     frames = read_events_as_frames(spark, FOLDER)
     for query, threshold in ((windows.new_tcp_connections, 1), (windows.superspreader, 2)):
-        emitted = windows.run_to_table(query(windows.stream_events_as_frames(spark, FOLDER), DAY, threshold), "flush")
+        emitted = windows.run_to_table(query(windows.stream_events_as_frames(spark, FOLDER), DAY, threshold, delay="0 seconds"), "flush")
         whole = windows.with_open_epochs(emitted, frames, query, DAY, threshold=threshold)
         assert rows(whole) == rows(query(frames, DAY, threshold))
 
@@ -94,7 +94,9 @@ def test_late_rows_are_dropped_and_origin_shifts_windows(spark, tmp_path):
 
 def test_report_sink_writes_closed_windows_once(spark, tmp_path):
     source = windows.stream_events_as_frames(spark, FOLDER)
-    result = windows.new_tcp_connections(source, DAY, 1)
+    with pytest.raises(ValueError, match="delay"):
+        windows.new_tcp_connections(source, DAY, 1)
+    result = windows.new_tcp_connections(source, DAY, 1, delay="0 seconds")
     out = str(tmp_path / "report")
     for _ in range(2):  # the second run finds nothing new
         writer = windows.report_sink(result, "dst_ip", "count", 0, out)
