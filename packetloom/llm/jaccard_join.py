@@ -174,26 +174,40 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
 
     In the postings of a shingle all documents but those of its commonest
     component query the postings, which are cut into blocks; pairs within one
-    component need no look.
+    component need no look. Documents of the commonest component query those of
+    components with a smaller id. So of any two documents the one of the larger
+    component id meets the other at every shingle that they share, and its count
+    is whole.
     """
     fields = ("_id", "n", "matches", "component")
     labelled = entries.join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = (
         sizes.groupBy("token")
-        .agg(F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+        # of equally common components the smallest id: large components mostly have small ids
+        .agg(
+            F.sum("c").alias("total"),
+            F.max(F.struct("c", (-F.col("component")).alias("less"))).alias("main"),
+            F.min("component").alias("least"),
+            F.count(F.lit(1)).alias("kinds"),
+        )
         .where("kinds > 1")
-        .select("token", "total", F.col("main.component").alias("main"))
+        .select("token", "total", F.col("main.c").alias("held"), (-F.col("main.less")).alias("main"), "least")
     )
-    marked = labelled.join(mixed, "token").select("token", "_id", "n", "matches", "component", "total", (F.col("component") != F.col("main")).alias("asks"))
+    marked = labelled.join(mixed, "token")
+    outside, before = F.col("component") != F.col("main"), F.col("component") < F.col("main")
+    # range 0 of a shingle has all its postings, range 1 those of components before its commonest one
+    posted = marked.withColumn("range", F.explode(F.when(before, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    most = F.when(F.col("range") == 0, F.col("total")).otherwise(F.col("total") - F.col("held"))
     blocks = (
-        marked.withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(F.col("total") / BUCKET)))
-        .groupBy("token", "block")
+        posted.withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(most / BUCKET)))
+        .groupBy("token", "range", "block")
         .agg(F.sort_array(F.collect_list(F.struct("_id", "n", "matches", "component"))).alias("posts"))
         # an array per field: sorted ids and near equal numbers shrink well in a shuffle, structs do not
-        .select("token", *[F.col(f"posts.{f}").alias(f"post{f}") for f in fields])
+        .select("token", "range", *[F.col(f"posts.{f}").alias(f"post{f}") for f in fields])
     )
-    asked = marked.where("asks").select("token", *fields).join(blocks, "token")
+    asking = marked.where(outside | (F.col("least") < F.col("main")))
+    asked = asking.select("token", F.when(outside, 0).otherwise(1).alias("range"), *fields).join(blocks, ["token", "range"])
 
     def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, held = None, []
@@ -288,8 +302,8 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     3. Documents that share their most frequent prefix shingle are compared in
        buckets of bounded size, which joins most of a large group of near copies.
     4. Exactly the pairs that are still in different components and share enough
-       of their prefixes are verified. A hot shingle is cut into blocks, and only
-       documents outside its main component query them.
+       of their prefixes are verified. A hot shingle is cut into blocks; documents
+       outside its main component query all of them, those inside a part.
     """
     spark = docs.sparkSession
 

@@ -273,6 +273,32 @@ def test_jaccard(spark, monkeypatch, bucket):
     assert set(bag(got, "doc_id", "n_shingles", "component_id")) == {(i, len(s), label[i]) for i, s in sets.items()}
 
 
+def test_candidates_whose_shared_shingles_have_different_main_components(spark):
+    # documents 1 and 2 share four shingles: at two of them 1's component is the commonest, at two 2's
+    rows = [(t, i, 40, 4) for t in range(4) for i in (1, 2)] + [(t, 10 + t // 2 * 10 + k, 40, 4) for t in range(4) for k in range(3)]
+    labels = [(i, 1) for i in (1, 10, 11, 12)] + [(i, 2) for i in (2, 20, 21, 22)]
+    entries = spark.createDataFrame(rows, "token long, _id long, n long, matches long")
+    for swapped in (0, 3):
+        of = spark.createDataFrame([(i, abs(swapped - c)) for i, c in labels], "_id long, component long")
+        assert bag(jaccard_join._candidates(entries, of, Fraction(9, 10)), "a", "b") == Counter([(1, 2)])
+
+
+def test_candidates_are_all_pairs_that_share_enough(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    r = random.Random(8)
+    own = {i: (set(r.sample(range(14), r.randrange(3, 8))), r.randrange(20, 24), r.randrange(1, 5)) for i in range(60)}
+    label = {i: r.choice([i, *range(100, 104)]) for i in own}
+    entries = spark.createDataFrame([(t, i, n, m) for i, (s, n, m) in own.items() for t in s], "token long, _id long, n long, matches long")
+    labels = spark.createDataFrame([(i, c) for i, c in label.items() if c != i], "_id long, component long")
+    expected = Counter(
+        (i, j)
+        for i, (s, n, m) in own.items()
+        for j, (s2, n2, m2) in own.items()
+        if i < j and label[i] != label[j] and len(s & s2) >= min(m, m2) and 10 * min(n, n2) >= 9 * max(n, n2)
+    )
+    assert bag(jaccard_join._candidates(entries, labels, Fraction(9, 10)), "a", "b") == expected
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.similar_groups(empty).collect() == []
 
