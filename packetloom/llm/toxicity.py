@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.storage import scratch_path
+from packetloom.functions.storage import cut_lineage, scratch_path
 from packetloom.llm import vectors
 from packetloom.llm.columns import whole
 from packetloom.llm.packing import small
@@ -25,10 +25,11 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 JUNK = set("*#$%&.,-_~^+=|'\"`:;/\\!?<>[](){}")
-_LEET_COST, _JUNK_COST, _REPEAT_COST, _ODD_COST = -2.5, -3.0, -2.5, -5.0
+_LEET_COST, _JUNK_COST, _REPEAT_COST, _ODD_COST, _BLANK_COST = -2.5, -3.0, -2.5, -5.0, -1.0
 _EDGES = b".,;:?!\"'()[]{}<>"
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
-_RUN = re.compile(r"(.)\1\1")
+#: two or more tokens of at most three characters in a row: blanks between these may be no word boundaries
+_SHORT = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+_RUN, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 
 # --- the character model: a-z are 1-26, other letters share 27-62, all else is 0 ---
 _CODES = 63
@@ -85,18 +86,31 @@ class CharModel:
 class Restorer:
     """Viterbi decoding of a token over the lattice of its readings under the character model."""
 
-    def __init__(self, model: CharModel) -> None:
+    def __init__(self, model: CharModel, words: Iterable[str] = (), known: Iterable[str] = ()) -> None:
         self.logp = model.logp.tolist()
+        self.words, self.known = frozenset(words), frozenset(known)
+        self.kinds = {_kind(w) for w in self.words}
+        self.may_hold = _any_of(self.kinds)
 
     def decode(self, token: str) -> str:
-        """The likeliest intended spelling of ``token``.
+        """The likeliest intended spelling of ``token``, or of several with blanks between them.
 
         Every character is read as itself, as a letter it stands for, as junk, or
-        as one more copy of the letter before. A state is the last two
-        characters; work is linear in the token's length.
+        as one more copy of the letter before, and a blank as the end of a word
+        or as nothing. A state is the last two characters; work is linear in the
+        token's length.
         """
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ch in token.lower():
+            if ch == " ":
+                ahead = {}
+                for (a, b), (score, path) in states.items():
+                    ended = score + (self.logp[a][b][0] if b else 0.0)
+                    for state, total, way in (((0, 0), ended, (path, " ")), ((a, b), score + _BLANK_COST, path)):
+                        if total > ahead.get(state, (-math.inf,))[0]:
+                            ahead[state] = (total, way)
+                states = ahead
+                continue
             letter = ch.isalpha()
             readings = [(x, _LEET_COST) for x in LEET.get(ch, "")]
             readings.append((ch, 0.0 if letter else _ODD_COST))
@@ -119,29 +133,70 @@ class Restorer:
         while path:
             path, x = path
             out.append(x)
-        return "".join(reversed(out)).strip("".join(JUNK))
+        return " ".join(w.strip("".join(JUNK)) for w in "".join(reversed(out)).split(" "))
 
     def word(self, token: bytes) -> str:
-        known = plain_word(token)
-        return self.decode(token.decode("utf-8", "replace")) if known is None else known
+        """The word of one token; doubled letters are looked at where a word of the lexicon can result from them."""
+        plain = plain_word(token)
+        if plain is None:
+            return self.decode(token.decode("utf-8", "replace"))
+        if _DOUBLE.search(plain) and plain not in self.words and plain not in self.known and _kind(plain) in self.kinds:
+            return self.decode(plain)
+        return plain
+
+    def rejoined(self, text: str) -> Iterator[str]:
+        """Words of the decoded stretches of short tokens that can hold a word of the lexicon."""
+        stretches = _SHORT.findall(text)
+        if stretches and self.may_hold.search("\0".join(stretches).lower().translate(_AS_KIND)):
+            for stretch in set(stretches):
+                if self.may_hold.search(stretch.lower().translate(_AS_KIND)):
+                    yield from self.decode(" ".join(stretch.split())).split(" ")
 
     def text(self, text: str) -> str:
-        """The whole text with every token restored and spelled-out words joined."""
-        joined = _SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
-        return " ".join(self.word(t) for t in joined.encode().split())
-
-
-def _spelled(text: str) -> list[bytes]:
-    """Words written one character at a time, joined."""
-    return [re.sub(r"\s", "", m[0]).encode() for m in _SPACED.finditer(text)]
-
-
-def _tokens(text: str) -> set[bytes]:
-    raw = text.encode()
-    found = set(raw.split())
-    if vectors.spaced_out(raw):
-        found.update(_spelled(text))
-    return found
+        """The whole text with every token restored and stretches of short tokens decoded together."""
+        out, at = [], 0
+        for m in _SHORT.finditer(text):
+            out += [self.word(t) for t in text[at : m.start()].encode().split()]
+            out.append(self.decode(" ".join(m[0].split())))
+            at = m.end()
+        return " ".join([*out, *(self.word(t) for t in text[at:].encode().split())])
+
+
+# --- which letters a character can end up as: digits and i, l stand for one kind; symbols that may be junk stay ---
+_BOTH = {ch: letters for ch, letters in LEET.items() if ch in JUNK}
+_AS_KIND = str.maketrans(
+    {"l": "i"}
+    | {ch: letters[0] for ch, letters in LEET.items() if ch not in JUNK}
+    | dict.fromkeys((ch for ch in JUNK if ch not in LEET), "")
+    | dict.fromkeys(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "")
+)
+
+
+def _kind(word: str) -> str:
+    """The word with like letters as one and doubled ones once."""
+    return re.sub(r"(.)\1+", r"\1", word.replace("l", "i"))
+
+
+def _any_of(kinds: Iterable[str]) -> re.Pattern:
+    """Matches every string of :data:`_AS_KIND` from which the channel may make a word of one of ``kinds``."""
+    trie: dict = {}
+    for kind in kinds:
+        node = trie
+        for ch in kind:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def rule(node: dict) -> str:
+        if "" in node:
+            return ""
+        either = []
+        for ch, ahead in sorted(node.items()):
+            own = re.escape(ch + "".join(x for x, to in _BOTH.items() if ch in to.replace("l", "i")))
+            rest = re.escape(ch + "".join(_BOTH))
+            either.append(f"[{own}][{rest}]*{rule(ahead)}")
+        return f"(?:{'|'.join(either)})"
+
+    return re.compile(rule(trie) if trie else r"(?!)")
 
 
 @dataclass
@@ -151,13 +206,15 @@ class ToxicityModel:
     chars: CharModel
     weights: dict[str, float]
     bias: float
+    #: ordinary words that differ from one of the lexicon in doubled letters only
+    known: tuple[str, ...] = ()
 
 
 class Scorer:
     """Scores texts in one worker; remembers the weight of a fixed number of recent tokens."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        self.restorer = Restorer(model.chars)
+        self.restorer = Restorer(model.chars, model.weights, model.known)
         self.words = list(model.weights)
         self.weights = list(model.weights.values())
         self.index = {w: i for i, w in enumerate(self.words)}
@@ -166,7 +223,7 @@ class Scorer:
 
     def found(self, text: str) -> set[int]:
         """Which words of the lexicon the restored text has."""
-        tokens = _tokens(text)
+        tokens = set(text.encode().split())
         known = set(map(self.memo.get, tokens))
         if None in known:
             for t in tokens:
@@ -177,6 +234,7 @@ class Scorer:
                     if len(t) <= 64:
                         self.memo[t] = at
                     known.add(at)
+        known.update(self.index.get(w, -1) for w in self.restorer.rejoined(text))
         return known - {None, -1}
 
     def score(self, text: str) -> float:
@@ -226,8 +284,12 @@ def _trigrams(texts: DataFrame) -> np.ndarray:
     return grams
 
 
-def _lexicon(labelled: DataFrame) -> list[str]:
-    """Words that mark toxic documents: log-odds at least ``_MIN_Z`` standard errors above 0, counted over all rows."""
+def _lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
+    """Words that mark toxic documents: log-odds at least ``_MIN_Z`` standard errors above 0, counted over all rows.
+
+    Also the words of three or more clean documents, and not oftener in toxic
+    ones, that differ from one of them in doubled letters only.
+    """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -243,21 +305,27 @@ def _lexicon(labelled: DataFrame) -> list[str]:
     totals = labelled.groupBy("toxic").count().collect()
     of = {r["toxic"]: float(r["count"]) for r in totals}
     if not of.get(0) or not of.get(1):
-        return []
+        return [], []
     n1, n0 = F.col("n1") + 0.5, F.col("n0") + 0.5
     z = (F.log(n1 / (of[1] + 1 - n1)) - F.log(n0 / (of[0] + 1 - n0))) / F.sqrt(1 / n1 + 1 / n0)
-    words = (
+    counted = cut_lineage(
         labelled.select("_text", "toxic")
         .mapInArrow(count, "word string, clean long, toxic long")
         .groupBy("word")
         .agg(F.sum("clean").alias("n0"), F.sum("toxic").alias("n1"))
-        .where("n1 >= 3")
+        .where("n1 >= 3 or (n0 >= 3 and word rlike '(.)\\\\1')")
+    )
+    words = (
+        counted.where("n1 >= 3")
         .select("word", z.alias("z"))
         .where(F.col("z") >= _MIN_Z)
         .orderBy(F.desc("z"), "word")
         .limit(MAX_LEXICON)
     )
-    return [r["word"] for r in words.collect()]
+    found = [r["word"] for r in words.collect()]
+    kind = F.regexp_replace(F.translate("word", "l", "i"), r"(.)\1+", "$1")
+    usual = counted.where("n0 >= 3").where(F.col("n0") / of[0] >= F.col("n1") / of[1]).where(kind.isin({_kind(w) for w in found}))
+    return found, [r["word"] for r in usual.select("word").collect()]
 
 
 def _logistic(found: list[list[int]], labels: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -311,12 +379,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
     chosen = labelled.groupBy("_key", "toxic").agg(F.min("_id").alias("_id")).select("_id", "toxic").distinct()
     rows = labelled.join(chosen, ["_id", "toxic"]).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
-    words = _lexicon(rows)
+    words, usual = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:
         toxic = rows.agg(F.avg("toxic")).first()[0] or 0.0
         return ToxicityModel(chars, {}, math.log((toxic + 1e-3) / (1 - toxic + 1e-3)))
-    start = ToxicityModel(chars, dict.fromkeys(words, 0.0), 0.0)
+    start = ToxicityModel(chars, dict.fromkeys(words, 0.0), 0.0, tuple(usual))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(start)
@@ -328,7 +396,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     sample = rows.orderBy("_order").limit(FIT_ROWS).select("_text", "toxic").repartition(16)
     fitted = sample.mapInArrow(features, "found array<int>, toxic int").collect()
     weights, bias = _logistic([r["found"] for r in fitted], np.array([r["toxic"] for r in fitted], float), len(words))
-    return ToxicityModel(chars, dict(zip(words, weights.tolist(), strict=True)), bias)
+    return ToxicityModel(chars, dict(zip(words, weights.tolist(), strict=True)), bias, tuple(usual))
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score", restored: str | None = None) -> DataFrame:

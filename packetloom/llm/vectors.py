@@ -1,4 +1,4 @@
-"""NumPy on the bytes of many texts at once: words, their hashes, isolated characters."""
+"""NumPy on the bytes of many texts at once: words, their hashes."""
 
 from __future__ import annotations
 
@@ -103,11 +103,3 @@ def shingle_sets(texts: Sequence[bytes], size: int) -> list[np.ndarray]:
         else:
             sets.append(words)
     return sets
-
-
-def spaced_out(text: bytes) -> bool:
-    """Whether three single bytes in a row stand apart, each between white space."""
-    raw = np.frombuffer(b" " + text + b" ", np.uint8)
-    space = SPACE[raw]
-    alone = ~space[1:-1] & space[:-2] & space[2:]
-    return len(alone) > 4 and bool((alone[:-4] & alone[2:-2] & alone[4:]).any())

@@ -407,6 +407,29 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(frame, none).count() == len(tests)
 
 
+def test_spacing_and_doubled_letters_are_decoded():
+    words = ["idiot", "dumb", "löser", "cop"]
+    grams = np.zeros((toxicity._CODES,) * 3)
+    for w in [*(f"you are the {' '.join(WORDS)} of a man " * 50).split(), *words * 3]:
+        codes = [0, 0, *map(toxicity._code, w), 0]
+        for x in zip(codes, codes[1:], codes[2:], strict=False):
+            grams[x] += 1
+    model = toxicity.ToxicityModel(toxicity.CharModel.fit(grams.ravel(), words), dict.fromkeys(words, 1.0), -1.0, ("coop",))
+    scorer = toxicity.Scorer(model)
+    for text, expected in [
+        ("you are a d u m b i d i o t", {0, 1}),
+        ("the man id iot", {0}),
+        ("the i  d i\no t man", {0}),
+        ("kilo 1 d 1 0 t alpha", {0}),
+        ("! d | o t", {0}),
+        ("of l ö s e r man", {2}),
+        ("idioot", {0}),
+        ("coop of the man", set()),
+        ("you are the man of a a a a a", set()),
+    ]:
+        assert scorer.found(text) == expected, text
+
+
 # --- vectors ---
 def test_word_hashes_with_long_words():
     long = "w" * 1_300_000
