@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ MAX_LEXICON = 2000
 FIT_ROWS = 50_000
 _MIN_Z = 4.0
 _RIDGE = 1.0
+#: similarity from which a labelled text is a copy, and texts that are compared with one text in one deal
+NEAR, _DEAL = Fraction(4, 5), 256
 _MEMO = 300_000
 _SLICE = 1 << 18
 
@@ -348,25 +351,70 @@ def _logistic(found: list[list[int]], labels: np.ndarray, size: int) -> tuple[np
 
 
 def _keyed(labelled: DataFrame) -> DataFrame:
-    """``_id, toxic, _text`` with ``_key``, the smallest hash of the text's five-word shingles: near copies mostly share it."""
+    """``_id, toxic, _text`` with a 128-bit hash of the text's five-word shingles and ``_key``, the smallest of these.
+
+    Near copies mostly share the key, but so do texts with a passage in common.
+    """
 
     def smallest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
-            keys = []
+            keys, h1, h2 = [], [], []
             for text in batch.column(2).to_pylist():
                 shingles = vectors.shingle_sets([text.encode()], 5)[0]
                 keys.append(int(shingles[0].view(np.int64)) if len(shingles) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "_key"])
+                h1.append(int(vectors.mix(shingles).sum().view(np.int64)))
+                h2.append(int(vectors.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
+            added = [pa.array(c, pa.int64()) for c in (keys, h1, h2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_key", "_h1", "_h2"])
+
+    new = [T.StructField(c, T.LongType()) for c in ("_key", "_h1", "_h2")]
+    return labelled.mapInArrow(smallest, T.StructType([*labelled.schema.fields, *new]))
+
+
+def _without_copies(labelled: DataFrame) -> DataFrame:
+    """The rows of :func:`_keyed` without those that a row of the same label stands for.
+
+    Of texts with equal shingle sets the smallest id stands for all. Where
+    several sets share a key, those with a Jaccard similarity of at least
+    ``NEAR`` with the set of the smallest id are left out; all others stay.
+    """
+    own = ["_key", "toxic", "_h1", "_h2"]
+    firsts = labelled.groupBy(*own).agg(F.min("_id").alias("_id"))
+    groups = (
+        firsts.groupBy("_key", "toxic")
+        .agg(F.min(F.struct("_id", "_h1", "_h2")).alias("first"), F.count(F.lit(1)).alias("size"))
+        .where("size > 1")
+        # a key of many rows is dealt to several tasks
+        .withColumn("deals", F.ceil(F.col("size") / _DEAL))
+    )
+    leader = groups.select("_key", "toxic", "first.*", "deals")
+    leads = leader.join(labelled, [*own, "_id"]).groupBy("_key", "toxic", "deals").agg(F.min("_text").alias("_lead"))
+    dealt = leads.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+    others = firsts.join(groups.select("_key", "toxic", "deals", F.col("first._id").alias("_first")), ["_key", "toxic"]).where("_id <> _first")
+    texts = labelled.join(others, [*own, "_id"]).withColumn("deal", F.pmod(F.xxhash64("_id"), "deals"))
+    pairs = texts.join(dealt, ["_key", "toxic", "deal"]).select("_id", "toxic", "_h1", "_h2", "_text", "_lead")
+
+    def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(rows):
+            keep = []
+            for text, lead in zip(*(batch.column(i).to_pylist() for i in (4, 5)), strict=True):
+                x, y = (vectors.shingle_sets([t.encode()], 5)[0] for t in (text, lead))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * NEAR.denominator >= (len(x) + len(y) - both) * NEAR.numerator and both > 0)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    return labelled.mapInArrow(smallest, T.StructType([*labelled.schema.fields, T.StructField("_key", T.LongType())]))
+    kind = T.StructType(pairs.schema.fields[:4])
+    copies = pairs.mapInArrow(near, kind).distinct()
+    kept = firsts.join(copies, ["_id", "toxic", "_h1", "_h2"], "left_anti").select("_id", "toxic", "_h1", "_h2")
+    return labelled.join(kept, ["_id", "toxic", "_h1", "_h2"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
     """Learn from the ``docs`` that ``labels`` marks 0 or 1, with character counts of all ``docs``.
 
-    Of near copies with the same label only one counts, else the words of a much
-    copied toxic text would look toxic. Labelled texts are joined and written
-    once; word counts cover all of them that are left. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
+    Of verified copies with the same label (:func:`_without_copies`) only one
+    counts, else the words of a much copied toxic text would look toxic. Labelled
+    texts are joined and written once; word counts cover all that are no copies. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
     smallest hash of their id. The lexicon holds at most ``MAX_LEXICON`` words.
     Rows without a label or an id are ignored; without both classes every score
     is the same.
@@ -377,8 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     keyed = _keyed(texts.join(marks.distinct(), "_id").select("_id", "toxic", "_text"))
     keyed.write.parquet(path)
     labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
-    chosen = labelled.groupBy("_key", "toxic").agg(F.min("_id").alias("_id")).select("_id", "toxic").distinct()
-    rows = labelled.join(chosen, ["_id", "toxic"]).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
+    rows = cut_lineage(_without_copies(labelled).select("_text", "toxic", F.xxhash64("_id").alias("_order")))
     words, usual = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:

@@ -430,6 +430,22 @@ def test_spacing_and_doubled_letters_are_decoded():
         assert scorer.found(text) == expected, text
 
 
+def test_only_verified_copies_are_left_out_of_the_fit(spark):
+    base = prose(700, 200)
+    for i in range(196):  # the passage that holds the text's smallest shingle is its key
+        passage = base.split()[i : i + 5]
+        if vectors.shingle_sets([" ".join(passage).encode()], 5)[0][0] == vectors.shingle_sets([base.encode()], 5)[0][0]:
+            smallest = passage
+    shared = " ".join(smallest)
+    others = [t for k in range(40) if vectors.shingle_sets([(t := f"{shared} other{k}").encode()], 5)[0][0] == vectors.shingle_sets([shared.encode()], 5)[0][0]]
+    assert others
+    rows = [(1, 1, base), (2, 1, base), (3, 1, base + " end"), (4, 0, base), *((10 + k, 1, t) for k, t in enumerate(others))]
+    rows += [(100, 1, ""), (101, 1, "two words")]
+    labelled = toxicity._keyed(spark.createDataFrame(rows, "_id long, toxic int, _text string"))
+    kept = {r["_id"] for r in toxicity._without_copies(labelled).collect()}
+    assert kept == {1, 4, 100, 101, *(10 + k for k in range(len(others)))}
+
+
 # --- vectors ---
 def test_word_hashes_with_long_words():
     long = "w" * 1_300_000
