@@ -27,6 +27,8 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 # --- candidates of the novelty scan ---
 MIN_CHARS, CONTEXT = 16, 96
 SENSITIVE = re.compile(rb"(?i)key|secret|token|passw|pwd|auth|credential|bearer|private|signature")
+#: a name and the sign that gives it a value, inside a run; ``=`` at the end of a run is padding
+NAMED = re.compile(rb"[A-Za-z_][A-Za-z0-9_.-]*=(?=[^=])")
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
 _HEXES = np.zeros(256, bool)
@@ -73,16 +75,21 @@ def candidates(raw: bytes, flags: np.ndarray) -> list[dict]:
     """Strings in a sensitive context, with the code around them; offsets in code points.
 
     A candidate is a maximal run of ``MIN_CHARS`` or more characters of the
-    alphabet of keys, with a digit and a letter, and a sensitive word within
-    ``CONTEXT`` bytes before it.
+    alphabet of keys, or what follows the last name with ``=`` inside such a run,
+    with a digit and a letter, and a sensitive word within ``CONTEXT`` bytes
+    before or after it.
     """
     found = []
     for a, b in _runs(flags, MIN_CHARS):
-        string, before = raw[a:b], raw[max(0, a - CONTEXT) : a]
-        if not (re.search(rb"[0-9]", string) and re.search(rb"[A-Za-z]", string) and SENSITIVE.search(before)):
+        for m in NAMED.finditer(raw, a, b):
+            a = m.end()
+        string, before, after = raw[a:b], raw[max(0, a - CONTEXT) : a], raw[b : b + CONTEXT]
+        if len(string) < MIN_CHARS or not (re.search(rb"[0-9]", string) and re.search(rb"[A-Za-z]", string)):
+            continue
+        if not (SENSITIVE.search(before) or SENSITIVE.search(after)):
             continue
         start = len(raw[:a].decode())
-        found.append({"start": start, "end": start + b - a, "before": before, "string": string, "after": raw[b : b + CONTEXT]})
+        found.append({"start": start, "end": start + b - a, "before": before, "string": string, "after": after})
     return found
 
 

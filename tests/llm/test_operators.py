@@ -142,6 +142,25 @@ def test_secrets(spark):
     assert not [s for s in found[5] if s[0] == 3]
 
 
+def test_secrets_of_assignments_and_with_the_word_after(spark):
+    key = "Zx9Qk27LmN0pRt5V"
+    rows = [
+        (1, f"export AUTH_KEY={key}", [key]),
+        (2, f"GET /a?x=1&signature={key}&private_key={key[::-1]}==", [key, key[::-1] + "=="]),
+        (3, f"é {key} is my credential", [key]),
+        (4, f"export COLOUR={key}", []),
+        (5, f"pwd=a.b=c_d={key}\nAUTH_KEY=short1", [key]),
+        (6, f"the private one is a+/{key}==", [f"a+/{key}=="]),
+    ]
+    for _, text, keys in rows:
+        raw = text.encode()
+        got = secrets.candidates(raw, secrets._RUN[np.frombuffer(raw, np.uint8)])
+        assert [c["string"].decode() for c in got] == [text[c["start"] : c["end"]] for c in got] == keys, text
+    df = spark.createDataFrame([rows[0][:2], (3, "é Hq7Wd2Yc8Jg4Xs6B is my credential")], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(df).collect()}
+    assert got == {1: [(3, 16, 32)], 3: [(3, 2, 18)]}
+
+
 # --- decontamination ---
 def test_leaks(docs, spark, empty):
     item = prose(77, 40)
