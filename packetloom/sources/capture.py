@@ -44,9 +44,8 @@ MAGIC = {
 
 SYNC_RECORDS = 16  # records that must look right in a row before a guess is accepted
 BATCH_RECORDS = 100_000
-MAX_TASKS = 100_000
 
-RANGE = "path string, length long, base long, lo long, hi long, start long, stop long"
+RANGE = "path string, length long, base long, lo long, hi long, start long, stop long, ended boolean"
 DECODED = pa.schema(
     [
         ("seq", pa.int64()),
@@ -82,18 +81,22 @@ def _layout(file, path: str) -> tuple[str, int]:
     return order, units
 
 
-def _hop(data: bytes, at: int, limit: int, order: str) -> tuple[list[int], int | None]:
-    """Record offsets from ``at`` up to ``limit``, and the first offset beyond; None where the data ends early."""
+def _hop(data: bytes, at: int, limit: int, order: str) -> tuple[list[int], int, bool]:
+    """Record offsets from ``at`` up to ``limit``, the end of the last one, and whether the capture ends there.
+
+    It ends at a record that is cut off or longer than ``MAX_CAPTURED``.
+    """
     found, length = [], struct.Struct(order + "I")
     while at < limit:
         if at + RECORD_HEADER > len(data):
-            return found, None
-        after = at + RECORD_HEADER + length.unpack_from(data, at + 8)[0]
-        if after > len(data):
-            return found, None
+            return found, at, True
+        captured = length.unpack_from(data, at + 8)[0]
+        after = at + RECORD_HEADER + captured
+        if captured > MAX_CAPTURED or after > len(data):
+            return found, at, True
         found.append(at)
         at = after
-    return found, at
+    return found, at, False
 
 
 def _guess_start(data: bytes, order: str, units: int) -> int | None:
@@ -130,6 +133,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pylist()
         for row in rows:
             lo, hi, length = row["lo"], row["hi"], row["length"]
+            row["ended"] = False
             if row["start"] is not None and row["start"] >= hi:
                 row["stop"] = row["start"]  # no record begins here
                 continue
@@ -141,9 +145,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["start"] is None:
                 guess = _guess_start(data, order, units)
                 row["start"] = hi if guess is None else min(lo + guess, hi)
-            _, after = _hop(data, row["start"] - begin, hi - begin, order)
-            # a cut-off record ends the capture
-            row["stop"] = length if after is None else begin + after
+            _, after, row["ended"] = _hop(data, row["start"] - begin, hi - begin, order)
+            row["stop"] = begin + after
         yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
 
@@ -199,12 +202,12 @@ def _decode_records(data: bytes, starts: np.ndarray, order: str, units: int, pos
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            if row["start"] >= row["hi"]:
+            if row["start"] >= min(row["hi"], row["stop"]):
                 continue
             with _open(row["path"]) as file:
                 order, units = _layout(file, row["path"])
                 data = file.read_at(row["stop"] - row["start"], row["start"])
-            starts, _ = _hop(data, 0, row["hi"] - row["start"], order)
+            starts, _, _ = _hop(data, 0, min(row["hi"], row["stop"]) - row["start"], order)
             for i in range(0, len(starts), BATCH_RECORDS):
                 some = np.array(starts[i : i + BATCH_RECORDS], np.int64)
                 yield _decode_records(data, some, order, units, row["base"] + row["start"])
@@ -212,7 +215,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spread(ranges: DataFrame, count: int) -> DataFrame:
     """One range per task (round-robin, so evenly): the rows are tiny, but not the bytes they stand for."""
-    return ranges.repartition(max(1, min(count, MAX_TASKS)))
+    return ranges.repartition(max(1, count))
 
 
 def capture_ranges(spark: SparkSession, path: str, split_bytes: int, glob: str | None = None) -> DataFrame:
@@ -230,11 +233,13 @@ def capture_ranges(spark: SparkSession, path: str, split_bytes: int, glob: str |
         .withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("length")))
         .withColumn("start", F.when(F.col("lo") == 0, F.least(F.lit(FILE_HEADER).cast("long"), F.col("hi"))))
         .withColumn("stop", F.lit(None).cast("long"))
+        .withColumn("ended", F.lit(False))
     )
     ranges = cut_lineage(ranges)
     walked = cut_lineage(_spread(ranges, ranges.count()).mapInArrow(_walk, RANGE))
     earlier = Window.partitionBy("path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.max(F.when(F.col("stop") == F.col("length"), F.col("stop"))).over(earlier)
+    # no record starts in a range after the one in which the capture ends
+    ended = F.max(F.when(F.col("ended"), F.col("length"))).over(earlier)
     while True:
         expected = F.coalesce(ended, F.lag("stop").over(Window.partitionBy("path").orderBy("lo")))
         checked = walked.withColumn("_expected", expected)

@@ -7,7 +7,7 @@ import pytest
 
 from packetloom.operators import epochs, report
 from packetloom.plans import telemetry
-from packetloom.sources.capture import frames_from_pcap, packets_from_pcap
+from packetloom.sources.capture import capture_ranges, frames_from_pcap, packets_from_pcap
 
 
 def ethernet(payload, kind=0x0800):
@@ -109,6 +109,17 @@ def test_damage_in_the_middle_ends_the_capture(spark, tmp_path):
         assert frames_from_pcap(spark, str(tmp_path), split_bytes=split).count() == 50
 
 
+def test_a_record_that_is_too_long_ends_the_capture_in_every_split(spark, tmp_path):
+    good = capture([(1, i, ethernet(ipv4(tcp(src_port=i)))) for i in range(50)])
+    more = capture([(2, i, ethernet(ipv4(tcp(src_port=i % 60_000, data=bytes(900))))) for i in range(400)])[24:]
+    broken = good + struct.pack("<IIII", 1, 1, 270_000, 270_000) + more
+    (tmp_path / "a.pcap").write_bytes(broken)
+    for split in (40_000, 1 << 27):
+        assert [r.src_port for r in frames_from_pcap(spark, str(tmp_path), split_bytes=split).orderBy("seq").collect()] == [*range(50)]
+        reads = [r.stop - r.start for r in capture_ranges(spark, str(tmp_path), split).where("start < hi and start < stop").collect()]
+        assert sum(reads) == len(good) - 24
+
+
 def test_query_on_a_capture(spark, tmp_path):
     frames = [(100 + i // 4, 0, ethernet(ipv4(tcp(src_port=i, flags=2)))) for i in range(40)]
     (tmp_path / "a.pcap").write_bytes(capture(frames))
