@@ -58,7 +58,7 @@ STAGES = [
     ("BPE encoding and decoding", tokenize),
 ]
 
-#: SQL cannot express the toxicity model or the tokenizer; tests check every stage against a brute-force version
+#: SQL cannot express the toxicity model or the tokenizer; no test runs the pipeline or its stages, only operators they use
 ORACLE_SQL = None
 
 
