@@ -1,9 +1,10 @@
-"""Every registered query against its SQL."""
+"""Every registered telemetry query against its SQL."""
 
 import pytest
 
 import __spark_entry__ as contract
 from compare import duck, spark_bag, sql_bag
+from packetloom.plans import catalog, oracles
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -14,17 +15,19 @@ def con():
         yield c
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
-    columns, rows = spark_bag(contract.queries()[name](spark, FOLDER))
-    expected_columns, expected = sql_bag(con, contract.oracle_sql()[name])
+    columns, rows = spark_bag(catalog.queries()[name](spark, FOLDER))
+    expected_columns, expected = sql_bag(con, oracles.oracle_sql()[name])
     assert columns == expected_columns
     assert expected, "the query returns nothing on the test tables"
     assert rows == expected
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(oracles.oracle_sql())
+    assert set(catalog.queries()) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
