@@ -81,6 +81,82 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM placed
 """
 
+_SEARCH = f"""
+WITH bags AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), lengths AS (
+    SELECT doc_id, count(*) AS n FROM bags GROUP BY doc_id
+), sizes AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), said AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+    GROUP BY item_id, term
+), postings AS (
+    SELECT doc_id, term, count(*) AS tf FROM bags WHERE term IN (SELECT term FROM said) GROUP BY doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+    FROM said JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), sizes
+    GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+# a text that needs no escape has 12 + 1 + 11 characters around it and its role; escapes add one each
+_CHAT = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), sized AS (
+    SELECT *, CASE WHEN regexp_matches(text, '<\\|im_(start|end)\\|>|<\\\\+\\|')
+        THEN len(regexp_extract_all(text, '<\\\\*\\|')) ELSE 0 END AS escapes FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+_NEGATIVES = """
+WITH numbers AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM numbers a JOIN numbers b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op6_jaccard_join": _JACCARD, "op8_sharding": _SHARDING}
+    return {
+        "op1_line_dedup": _LINES,
+        "op6_jaccard_join": _JACCARD,
+        "op8_sharding": _SHARDING,
+        "op11_lexical_search": _SEARCH,
+        "op12_chat_format": _CHAT,
+        "op13_hard_negatives": _NEGATIVES,
+    }
