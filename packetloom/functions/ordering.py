@@ -76,3 +76,19 @@ def positions(df: DataFrame, part: str, order: Sequence[Column], out: str = "pos
         .withColumn(out, F.col("_at") + F.col("_shift") + 1)
         .drop("_slice", "_at", "_shift")
     )
+
+
+def total_before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows before this one in ``order``, for tables of narrow rows.
+
+    The rows are sorted by ranges over all tasks and written once; one row per range meets in a window.
+    """
+    ordered = cut_lineage(
+        df.orderBy(order).withColumn("_slice", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    )
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = ordered.groupBy("_slice").agg(F.sum(value).alias("_total"))
+    offsets = slices.select("_slice", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ordered.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(offsets, "_slice").withColumn(out, F.col("_inside") + F.col("_ahead")).drop("_slice", "_at", "_inside", "_ahead")

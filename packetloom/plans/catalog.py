@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from packetloom import EPOCH
 from packetloom.functions import expressions as ex
+from packetloom.functions.ordering import positions
+from packetloom.functions.storage import scratch_path
 from packetloom.operators import counters, coupons, epochs, membership, relational, report, stats
 from packetloom.operators.methods import reduce_by
 from packetloom.plans import telemetry
+from packetloom.sources import capture
 from packetloom.sources.tables import clock_of_events, frames_from_events, read_events, read_events_as_frames, tcp_only
 from packetloom.streaming import windows
 
@@ -69,6 +72,18 @@ def packets_view(spark, folder):
     return packets.drop("ts").withColumn("dns_ns_type", F.coalesce("dns_ns_type", F.lit(-1)))
 
 
+@register("packets_decoded")
+def packets_decoded(spark, folder):
+    """The events written as capture files and decoded from their bytes, in many small ranges."""
+    path = scratch_path(spark, "captures")
+    capture.write_pcap(read_events_as_frames(spark, folder), path)
+    decoded = capture.frames_from_pcap(spark, path, split_bytes=1 << 20)
+    arrived = positions(decoded.withColumn("_all", F.lit(0)), "_all", [F.asc("seq")], "arrival")
+    return tcp_only(arrived).select(
+        "arrival", "ts_sec", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "total_len", "protocol"
+    )
+
+
 @register("tcp_only")
 def tcp_rows(spark, folder):
     return tcp_only(read_events_as_frames(spark, folder)).select("seq", "protocol")

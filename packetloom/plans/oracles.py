@@ -192,6 +192,10 @@ def oracle_sql() -> dict[str, str]:
             "SELECT seq, ts_sec, src_ip, dst_ip, src_port, dst_port, tcp_flags, total_len, protocol, "
             "-1 AS dns_ns_type FROM packets"
         ),
+        "packets_decoded": _sql(
+            "SELECT arrival, ts_sec, src_ip, dst_ip, src_port, dst_port, tcp_flags, total_len, protocol "
+            "FROM (SELECT *, row_number() OVER (ORDER BY seq) AS arrival FROM frames) WHERE protocol = 6"
+        ),
         "tcp_only": _sql("SELECT seq, protocol FROM packets"),
         "frame_accounting": _sql(
             "SELECT epoch_id, frames, CAST(sum(frames) OVER (ORDER BY epoch_id) AS BIGINT) AS total_frames "
