@@ -1,5 +1,6 @@
 """Every corpus query that SQL can express against its SQL, over whole tables."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -26,3 +27,14 @@ def test_query_equals_sql(spark, con, name):
     assert columns == expected_columns
     assert expected
     assert rows == expected
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_no_cross_joins(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not re.search("CartesianProduct|NestedLoopJoin", df._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
