@@ -36,21 +36,24 @@ def distinct_bloom(
 
     Exact in arrival order without a loop: a wrongly dropped key sets no new bit, so
     the time a bit is first set depends on first arrivals only. A key passes if it is
-    the one that first set at least one of its bits.
+    the one that first set at least one of its bits. So every bit names the key that
+    was first to set it, and the keys that are named pass: sums and minima only, with
+    map-side combine, and no join. After the first shuffle at most ``size`` rows per
+    epoch and task travel on.
     """
-    first = df.groupBy(EPOCH, *keys).agg(F.min(SEQ).alias(SEQ))
+    kept = [EPOCH, *keys, SEQ]
+    if first_row:
+        first = distinct_exact(df, keys, first_row=True)
+        kept = first.columns
+    else:
+        first = df.groupBy(EPOCH, *keys).agg(F.min(SEQ).alias(SEQ))
     touched = _bits(first, keys, size, num_hashes, seed, hash)
-    set_at = touched.groupBy(EPOCH, "_bucket").agg(F.min(SEQ).alias("_set_at"))
-    passed = (
-        look_up(touched, set_at, [EPOCH, "_bucket"], keys, size)
-        .groupBy(EPOCH, *keys, SEQ)
-        .agg(F.max("_set_at").alias("_last_set"))
-        .where(F.col("_last_set") == F.col(SEQ))
-        .drop("_last_set")
-    )
-    if not first_row:
-        return passed.select(EPOCH, *keys)
-    return distinct_exact(df, keys, first_row=True).join(passed.select(EPOCH, SEQ), [EPOCH, SEQ], "left_semi")
+    # seq leads, so the smallest struct is that of the first row
+    names = F.struct(SEQ, *[c for c in kept if c not in (EPOCH, SEQ)])
+    setters = touched.groupBy(EPOCH, "_bucket").agg(F.min(names).alias("_setter")).select(EPOCH, "_setter.*")
+    if first_row:
+        return setters.dropDuplicates([EPOCH, SEQ]).select(*kept)
+    return setters.select(EPOCH, *keys).dropDuplicates()
 
 
 def bloom_semi_join(

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from packetloom.operators import counters, membership, stats
-from packetloom.plans import telemetry
+from packetloom.plans import catalog, telemetry
 from packetloom.sources.tables import FRAME_COLUMNS, read_events_as_frames, read_frames
 from packets import frame, random_packets
 
@@ -26,11 +26,18 @@ def no_broadcast(spark):
 
 
 def test_no_cross_joins(spark, no_broadcast):
-    for name, query in contract.queries().items():
+    for name, query in catalog.queries().items():
         if not name.startswith("stream"):
             assert not re.search("CartesianProduct|NestedLoopJoin", plan(query(spark, FOLDER))), name
 
 
+@pytest.mark.parametrize("name", ["distinct_bloom", "distinct_bloom_rows"])
+def test_bloom_distinct_has_no_join(spark, no_broadcast, name):
+    text = plan(contract.queries()[name](spark, FOLDER))
+    assert "Join" not in text
+    assert len(re.findall(r"FileScan parquet \[[^]]*props", text)) == 1
+
+
 @pytest.mark.parametrize("name", ["q6_syn_flood", "q7_completed_flow", "q8_slowloris"])
 def test_join_queries_scan_once(spark, name):
     text = plan(contract.queries()[name](spark, FOLDER))
