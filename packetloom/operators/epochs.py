@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import EPOCH, SEQ
+from packetloom.functions import chains
 from packetloom.functions.expressions import floor_div
-from packetloom.functions.ordering import running_sum
+from packetloom.functions.ordering import total_before
 from packetloom.functions.skew import salted_lookup
 from packetloom.functions.storage import cut_lineage
 
-# a span of this many epoch lengths is walked by one task in epoch_chained
+# one task of epoch_chained walks a span of so many epoch lengths, but of no more seconds than that
 SPAN_EPOCHS = 64
-# the bucket lookup of epoch_chained is broadcast up to this many rows (about 40 bytes each)
-BROADCAST_BUCKETS = 1_000_000
-BUCKET_SALTS = 64
+SPAN_SECONDS = 1 << 21
+BUCKET_SALTS = 16
 
 
 def first_second(frames: DataFrame) -> Column:
@@ -40,41 +40,38 @@ def epoch_tumbling(frames: DataFrame, seconds: int, origin: int | Column | None
     return since.withColumn(EPOCH, floor_div(EPOCH, seconds))
 
 
+def _span_seconds(seconds: int) -> int:
+    """Length of the spans of time that one task looks at: many epochs, as long as they cover at most ``SPAN_SECONDS``."""
+    return min(seconds * SPAN_EPOCHS, max(SPAN_SECONDS, SPAN_EPOCHS))
+
+
 def chained_starts(frames: DataFrame, seconds: int) -> DataFrame:
-    """Start second of every chained epoch, with the ``seq`` of the frame that opens it.
+    """``start, start_seq``: start second of every chained epoch, with the ``seq`` of the frame that opens it.
 
     The next start is the first occupied second at least ``seconds`` later, so
-    starts form a chain. It is walked in parallel: time is cut into spans of
-    ``SPAN_EPOCHS * seconds``. (1) Each span works out, for every second at which
-    the chain could enter it, the last start it would reach inside. Only the
-    seconds within one epoch length of the span's beginning can be entered, so
-    this leaves about 1/64 of the seconds. (2) One short pass hops from span to
-    span and fixes each span's true entry. (3) Each span lists its starts. Work
-    per task is bounded by time covered, never by the number of frames.
+    starts form a chain. It is followed in parallel: time is cut into spans. (1)
+    Each span works out, for every second at which the chain could enter it, the
+    time from which on the next span is looked for. A span that is longer than an
+    epoch can only be entered near its beginning, so few seconds are left. (2) The
+    first occupied second from each of these times on makes entries point to
+    entries, and the ones on the chain are found by doubling. (3) Each span lists
+    its starts from its true entry. No task sees more than the occupied seconds of
+    one span, however many frames there are and however long an epoch is.
     """
-    length = seconds * SPAN_EPOCHS
+    length = _span_seconds(seconds)
     occupied = cut_lineage(frames.groupBy("ts_sec").agg(F.min(SEQ).alias("first_seq")))
-    spans = occupied.withColumn("_span", floor_div("ts_sec", length)).withColumn("_all", F.lit(0))
+    spans = occupied.withColumn("_span", floor_div("ts_sec", length))
 
     def possible_entries(rows: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(rows["ts_sec"].to_numpy())
         here = np.arange(len(t))
         hop = np.searchsorted(t, t + seconds)
-        reach = np.where(hop < len(t), hop, here)
-        for _ in range(SPAN_EPOCHS.bit_length()):
-            reach = reach[reach]
+        last = np.where(hop < len(t), hop, here)
+        for _ in range(length.bit_length()):
+            last = last[last]
         begin = int(rows["_span"].iloc[0]) * length
         entries = min(int(np.searchsorted(t, begin + seconds - 1)) + 1, len(t))
-        return pd.DataFrame({"_all": 0, "entry": t[:entries], "last": t[reach[:entries]]})
-
-    def hop_spans(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("entry")
-        entry, last = rows["entry"].to_numpy(), rows["last"].to_numpy()
-        taken, at = [], 0
-        while at < len(entry):
-            taken.append(entry[at])
-            at = int(np.searchsorted(entry, last[at] + seconds))
-        return pd.DataFrame({"entry": taken})
+        return pd.DataFrame({"start": t[:entries], "value": t[last[:entries]] + seconds})
 
     def list_starts(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts_sec")
@@ -85,16 +82,19 @@ def chained_starts(frames: DataFrame, seconds: int) -> DataFrame:
             at = int(np.searchsorted(t, t[at] + seconds))
         return rows.iloc[picked][["ts_sec", "first_seq"]].rename(columns={"ts_sec": "start", "first_seq": "start_seq"})
 
-    entries = (
-        spans.groupBy("_span")
-        .applyInPandas(possible_entries, "_all int, entry long, last long")
-        .groupBy("_all")
-        .applyInPandas(hop_spans, "entry long")
-        .select(floor_div("entry", length).alias("_span"), "entry")
-    )
-    starts = spans.join(entries, "_span").groupBy("_span").applyInPandas(list_starts, "start long, start_seq long")
-    buckets = occupied.select(floor_div("ts_sec", seconds).alias("_bucket")).distinct()
-    return buckets.join(starts.withColumn("_bucket", floor_div("start", seconds)), "_bucket", "left")
+    entries = cut_lineage(spans.groupBy("_span").applyInPandas(possible_entries, "start long, value long"))
+    following = chains.first_at_least(entries.select("value"), occupied.select(F.col("ts_sec").alias("value")))
+    steps = cut_lineage(entries.join(following, "value").select("start", F.col("found").alias("next")))
+    root = occupied.agg(F.min("ts_sec").alias("start")).where("start IS NOT NULL")
+    on_chain = chains.reached(steps, root).select(floor_div("start", length).alias("_span"), F.col("start").alias("entry"))
+    return spans.join(on_chain, "_span").groupBy("_span").applyInPandas(list_starts, "start long, start_seq long")
+
+
+def numbered_starts(frames: DataFrame, seconds: int) -> DataFrame:
+    """``epoch_id, start, start_seq`` of every chained epoch."""
+    starts = cut_lineage(chained_starts(frames, seconds))
+    counted = starts.withColumn("_one", F.lit(1).cast("long"))
+    return total_before(counted, "start", "_one", EPOCH).drop("_one")
 
 
 def epoch_chained(frames: DataFrame, seconds: int) -> DataFrame:
@@ -104,31 +104,34 @@ def epoch_chained(frames: DataFrame, seconds: int) -> DataFrame:
     that epoch and closes it; the next epoch starts at that frame's second.
     Needs unique ``seq`` and ``ts_sec`` that never decreases with it.
 
-    Starts are at least ``seconds`` apart, so an aligned bucket of that length
-    holds at most one: assigning frames is an equi-join with one row per bucket.
+    Starts are at least ``seconds`` apart, so an aligned bucket of that length holds
+    at most one, and the epoch before it reaches into the bucket as well. Both are
+    told to the bucket's frames by an equi-join, with one bucket's frames split.
     """
     if seconds < 1:
         raise ValueError("an epoch lasts at least one second")
-    buckets = cut_lineage(chained_starts(frames, seconds))
-    numbered = running_sum(buckets, [], "_bucket", F.col("start").isNotNull().cast("long"), "_upto", block_bits=12)
-    lookup = numbered.select(
-        "_bucket",
-        "start",
-        "start_seq",
-        (F.col("_upto") - F.col("start").isNotNull().cast("long")).alias("_before"),
+    starts = cut_lineage(numbered_starts(frames, seconds).withColumn("_bucket", floor_div("start", seconds)))
+    occupied = frames.select(floor_div("ts_sec", seconds).alias("_bucket")).distinct()
+    # the last epoch that starts in an earlier bucket; starts and buckets are few against frames
+    asked = occupied.select(F.col("_bucket").alias("value"))
+    # seen from behind, the start before a bucket is the first one at least as far
+    behind = chains.first_at_least(
+        asked.select((1 - F.col("value")).alias("value")), starts.select((-F.col("_bucket")).alias("value"))
+    ).select((1 - F.col("value")).alias("_bucket"), (-F.col("found")).alias("_earlier"))
+    epochs = starts.select(F.col("_bucket").alias("_earlier"), F.col(EPOCH).alias("_before"))
+    lookup = (
+        behind.join(epochs, "_earlier", "left")
+        .join(starts, "_bucket", "left")
+        .select("_bucket", "start", "start_seq", F.col(EPOCH).alias("_own"), F.coalesce("_before", F.lit(0)).alias("_before"))
     )
     keyed = frames.withColumn("_bucket", floor_div("ts_sec", seconds))
-    if buckets.count() <= BROADCAST_BUCKETS:
-        joined = keyed.join(F.broadcast(lookup), "_bucket")
-    else:
-        # one bucket may hold a large share of the frames: split it
-        joined = salted_lookup(keyed, lookup, ["_bucket"], [SEQ], BUCKET_SALTS, "inner")
+    joined = salted_lookup(keyed, cut_lineage(lookup), ["_bucket"], [SEQ], BUCKET_SALTS, "inner")
     opened = (F.col("ts_sec") > F.col("start")) | (
         (F.col("ts_sec") == F.col("start")) & (F.col(SEQ) > F.col("start_seq"))
     )
-    # the very first start opens epoch 0 for its own frame too
-    epoch = F.greatest(F.col("_before") - 1 + F.coalesce(opened, F.lit(False)).cast("long"), F.lit(0))
-    return joined.withColumn(EPOCH, epoch).drop("_bucket", "start", "start_seq", "_before")
+    # the frame that opens an epoch still belongs to the one before; the very first one to epoch 0
+    epoch = F.when(F.coalesce(opened, F.lit(False)), F.col("_own")).otherwise(F.col("_before"))
+    return joined.withColumn(EPOCH, epoch).drop("_bucket", "start", "start_seq", "_before", "_own")
 
 
 def last_epoch(df: DataFrame, frames: DataFrame | None = None) -> DataFrame:

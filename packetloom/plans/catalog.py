@@ -19,12 +19,12 @@ from packetloom.operators import counters, coupons, epochs, membership, relation
 from packetloom.operators.methods import reduce_by
 from packetloom.plans import telemetry
 from packetloom.sources import capture
-from packetloom.sources.tables import clock_of_events, frames_from_events, read_events, read_events_as_frames, tcp_only
+from packetloom.sources.tables import clock_of_events, read_events, read_events_as_frames, tcp_only
 from packetloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DAY, HOUR = 86400, 3600
+DAY, HOUR, MINUTES = 86400, 3600, 900
 SMALL = {"depth": 2, "seed": 42}
 CMS = {**SMALL, "memory_in_bytes": 512}  # width 64
 TREE = {**SMALL, "width_l1": 256, "width_l2": 32, "width_l3": 4, "threshold_l1": 254, "threshold_l2": 600}
@@ -47,8 +47,11 @@ def _frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tumbling(spark: SparkSession, folder: str, seconds: int) -> DataFrame:
-    events = read_events(spark, folder)
-    return epochs.epoch_tumbling(frames_from_events(events), seconds, epochs.first_second(clock_of_events(events)))
+    return epochs.epoch_tumbling(read_events_as_frames(spark, folder), seconds, _origin(spark, folder))
+
+
+def _origin(spark: SparkSession, folder: str):
+    return epochs.first_second(clock_of_events(read_events(spark, folder)))
 
 
 def register(name: str):
@@ -107,6 +110,27 @@ def epoch_report(spark, folder):
     return report.epoch_report(counts, ["dst_ip", "src_ip"], "count", 1)
 
 
+@register("epoch_bounds")
+def epoch_bounds(spark, folder):
+    return report.epoch_calendar(_tumbling(spark, folder, MINUTES), MINUTES, _origin(spark, folder))
+
+
+@register("epoch_bounds_chained")
+def epoch_bounds_chained(spark, folder):
+    calendar = report.chained_calendar(read_events_as_frames(spark, folder), HOUR)
+    return calendar.withColumn("end_sec", F.coalesce("end_sec", F.lit(-1)))
+
+
+@register("epoch_report_full")
+def epoch_report_full(spark, folder):
+    """Quarters of an hour, in many of which no host receives more than two connections."""
+    frames = _tumbling(spark, folder, MINUTES)
+    counts = relational.reduce_exact(tcp_only(frames), ["dst_ip"], 1)
+    lines = report.epoch_report(counts, ["dst_ip"], "count", 2)
+    full = report.full_report(report.epoch_calendar(frames, MINUTES, _origin(spark, folder)), lines)
+    return full.withColumns({"flow_key": F.coalesce("flow_key", F.lit("none")), "value": F.coalesce("value", F.lit(0)), "position": F.coalesce("position", F.lit(0))})
+
+
 # --- epochs -----------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-DAY, HOUR = 86400, 3600
+DAY, HOUR, MINUTES = 86400, 3600, 900
 SEED = 42
 FLOW = ["src_ip", "dst_port"]
 PAIR = ["dst_ip", "src_ip"]
@@ -182,6 +182,27 @@ def _arrival(levels: bool) -> str:
     return _sql(body, *ctes)
 
 
+_CHAIN = [
+    "secs AS (SELECT ts_sec, min(seq) AS seq FROM frames GROUP BY ts_sec)",
+    f"hops AS (SELECT ts_sec, min(ts_sec) OVER (ORDER BY ts_sec RANGE BETWEEN {HOUR} FOLLOWING "
+    "AND UNBOUNDED FOLLOWING) AS next_sec FROM secs)",
+    "starts(t) AS (SELECT min(ts_sec) FROM secs UNION ALL "
+    "SELECT h.next_sec FROM starts s JOIN hops h ON h.ts_sec = s.t WHERE h.next_sec IS NOT NULL)",
+    "opened AS (SELECT secs.seq, secs.ts_sec FROM starts JOIN secs ON secs.ts_sec = starts.t)",
+]
+_CHAINED = (
+    "(SELECT f.seq, CAST(greatest(count(o.seq) - 1, 0) AS BIGINT) AS epoch_id "
+    "FROM frames f LEFT JOIN opened o ON o.seq < f.seq GROUP BY f.seq)"
+)
+
+_CALENDAR = (
+    f"calendar AS (SELECT epoch_id, start_sec, start_sec + {MINUTES} AS end_sec, frames, "
+    "CAST(sum(frames) OVER (ORDER BY epoch_id) AS BIGINT) AS total_frames FROM ("
+    f"SELECT s.e AS epoch_id, (SELECT min(ts_sec) FROM frames) + s.e * {MINUTES} AS start_sec, "
+    "(SELECT count(*) FROM frames f WHERE f.epoch_id = s.e) AS frames "
+    "FROM (SELECT unnest(range(0, (SELECT max(epoch_id) + 1 FROM frames))) AS e) s))"
+)
+
 _ROW = "seq, dst_ip, src_ip, dst_port, tcp_flags, total_len"
 
 
@@ -213,17 +234,26 @@ def oracle_sql() -> dict[str, str]:
         ),
         # epochs
         "epoch_tumbling": _sql("SELECT seq, epoch_id FROM frames", seconds=HOUR),
-        "epoch_chained": _sql(
-            "SELECT seq, CAST(greatest(c - 1, 0) AS BIGINT) AS epoch_id FROM "
-            "(SELECT f.seq, count(o.seq) AS c FROM frames f LEFT JOIN opened o ON o.seq < f.seq GROUP BY f.seq)",
-            "secs AS (SELECT ts_sec, min(seq) AS seq FROM frames GROUP BY ts_sec)",
-            f"hops AS (SELECT ts_sec, min(ts_sec) OVER (ORDER BY ts_sec RANGE BETWEEN {HOUR} FOLLOWING "
-            "AND UNBOUNDED FOLLOWING) AS next_sec FROM secs)",
-            "starts(t) AS (SELECT min(ts_sec) FROM secs UNION ALL "
-            "SELECT h.next_sec FROM starts s JOIN hops h ON h.ts_sec = s.t WHERE h.next_sec IS NOT NULL)",
-            "opened AS (SELECT secs.seq FROM starts JOIN secs ON secs.ts_sec = starts.t)",
+        "epoch_chained": _sql(f"SELECT seq, epoch_id FROM {_CHAINED}", *_CHAIN, recursive=True),
+        "epoch_bounds": _sql("SELECT * FROM calendar", _CALENDAR, seconds=MINUTES),
+        "epoch_bounds_chained": _sql(
+            "SELECT c.epoch_id, start_sec, coalesce(end_sec, -1) AS end_sec, frames, "
+            "CAST(sum(frames) OVER (ORDER BY c.epoch_id) AS BIGINT) AS total_frames "
+            f"FROM (SELECT epoch_id, count(*) AS frames FROM {_CHAINED} GROUP BY epoch_id) c "
+            "JOIN (SELECT row_number() OVER (ORDER BY ts_sec) - 1 AS epoch_id, ts_sec AS start_sec, "
+            "lead(ts_sec) OVER (ORDER BY ts_sec) AS end_sec FROM opened) b ON b.epoch_id = c.epoch_id",
+            *_CHAIN,
             recursive=True,
         ),
+        "epoch_report_full": _sql(
+            "SELECT c.*, coalesce(position, 0) AS position, coalesce(flow_key, 'none') AS flow_key, "
+            "coalesce(value, 0) AS value FROM calendar c LEFT JOIN ("
+            "SELECT epoch_id, 'dst_ip: ' || dst_ip AS flow_key, count AS value, "
+            "row_number() OVER (PARTITION BY epoch_id ORDER BY count DESC, dst_ip) AS position "
+            f"FROM ({_counts(['dst_ip'])}) WHERE count > 2) r ON r.epoch_id = c.epoch_id",
+            _CALENDAR,
+            seconds=MINUTES,
+        ),
         "last_epoch": _sql(_counts(["dst_ip"], where="epoch_id = (SELECT max(epoch_id) FROM frames)")),
         # filters, projections, expressions
         "filter_conj": _sql(

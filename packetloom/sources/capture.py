@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions import chains
 from packetloom.functions.expressions import floor_div
 from packetloom.functions.ordering import total_before
 from packetloom.functions.storage import cut_lineage
@@ -140,22 +141,6 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(found, STEPS)
 
 
-def reached(steps: DataFrame, roots: DataFrame) -> DataFrame:
-    """``path, start`` of all places on the chains from ``roots``; ``steps`` has ``path, start, next`` (null: the end).
-
-    Each turn adds the places that lie as far on again as those known reach, then
-    takes every step twice: as many turns as the logarithm of the longest chain.
-    """
-    known = roots.select("path", "start")
-    steps = steps.where("next IS NOT NULL")
-    while not steps.isEmpty():
-        further = known.join(steps, ["path", "start"]).select("path", F.col("next").alias("start"))
-        known = cut_lineage(known.unionByName(further))
-        twice = steps.select("path", F.col("start").alias("_from"), F.col("next").alias("start")).join(steps, ["path", "start"])
-        steps = cut_lineage(twice.select("path", F.col("_from").alias("start"), "next"))
-    return known
-
-
 def _repaired(ranges: DataFrame, split_bytes: int) -> DataFrame:
     """The ranges of whole files with the true start and stop of each, found without a guess."""
     maps = cut_lineage(_spread(ranges, ranges.count()).mapInArrow(_map, "path string, lo long, first long, step long, table binary, ends array<long>, over array<boolean>"))
@@ -165,7 +150,7 @@ def _repaired(ranges: DataFrame, split_bytes: int) -> DataFrame:
     gathered = asked.groupBy("path", "lo").agg(F.collect_list("start").alias("starts")).join(maps, ["path", "lo"])
     steps = cut_lineage(gathered.mapInArrow(_look_up, "path string, lo long, start long, stop long, ended boolean"))
     pointers = steps.select("path", "start", F.expr("CASE WHEN NOT ended THEN stop END").alias("next"))
-    true = reached(pointers, roots).join(steps, ["path", "start"])
+    true = chains.reached(pointers, roots, ["path"]).join(steps, ["path", "start"])
     found = ranges.drop("start", "stop", "ended").join(true, ["path", "lo"], "left")
     # no record starts in the others
     return found.select(

@@ -146,6 +146,7 @@ def trap(ranges, split):
 
 
 def test_traps_at_every_range_take_few_rounds(spark, tmp_path, monkeypatch):
+    from packetloom.functions import chains
     from packetloom.sources import capture as module
 
     split = 3000
@@ -153,24 +154,20 @@ def test_traps_at_every_range_take_few_rounds(spark, tmp_path, monkeypatch):
     (tmp_path / "a.pcap").write_bytes(data)
     (tmp_path / "b.pcap").write_bytes(capture([(1, i, ethernet(ipv4(tcp(src_port=i)))) for i in range(200)]))
     rounds = {"reads": 0, "joins": 0}
-    spread, reached, cut = module._spread, module.reached, module.cut_lineage
 
-    def counted_spread(*a):
-        rounds["reads"] += 1
-        return spread(*a)
+    def counting(name, call):
+        def counted(*a):
+            rounds[name] += 1
+            return call(*a)
 
-    def counted_reached(*a):
-        monkeypatch.setattr(module, "cut_lineage", lambda df: rounds.__setitem__("joins", rounds["joins"] + 1) or cut(df))
-        found = reached(*a)
-        monkeypatch.setattr(module, "cut_lineage", cut)
-        return found
+        return counted
 
-    monkeypatch.setattr(module, "_spread", counted_spread)
-    monkeypatch.setattr(module, "reached", counted_reached)
+    monkeypatch.setattr(module, "_spread", counting("reads", module._spread))
+    monkeypatch.setattr(chains, "cut_lineage", counting("joins", chains.cut_lineage))
     got = [r.src_port for r in frames_from_pcap(spark, str(tmp_path), split_bytes=split).orderBy("seq").collect()]
     assert got == [*range(n), *range(200)]
     assert rounds["reads"] <= 3  # guess, maps, decode
-    assert rounds["joins"] // 2 <= 24 .bit_length() + 2
+    assert rounds["joins"] // 2 <= (24).bit_length() + 2
     assert [r.src_port for r in frames_from_pcap(spark, str(tmp_path)).orderBy("seq").collect()] == got
 
 
@@ -181,16 +178,6 @@ def test_traps_in_every_split(spark, tmp_path, split):
     assert [r.src_port for r in frames_from_pcap(spark, str(tmp_path), split_bytes=split).orderBy("seq").collect()] == [*range(n)]
 
 
-def test_reached_follows_long_chains(spark):
-    from packetloom.sources.capture import reached
-
-    steps = [("a", i, i + 1 if i % 100 != 99 else None) for i in range(300)] + [("b", 0, 5), ("b", 5, None), ("b", 7, 5)]
-    df = spark.createDataFrame(steps, "path string, start long, next long")
-    roots = spark.createDataFrame([("a", 130), ("b", 0), ("c", 1)], "path string, start long")
-    got = sorted(tuple(r) for r in reached(df, roots).collect())
-    assert got == [("a", i) for i in range(130, 200)] + [("b", 0), ("b", 5), ("c", 1)]
-
-
 def test_exits_equal_following_each_offset():
     from packetloom.sources import formats
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from packetloom import EPOCH
-from packetloom.operators import epochs, report
+from packetloom.operators import epochs, relational, report
 from packets import frame, packet
 
 
@@ -41,11 +41,21 @@ def test_chained_equals_loop(spark, monkeypatch, seed, n, gap, jump, length, spa
     assert got == chained(seconds, length)
 
 
-def test_chained_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(epochs, "BROADCAST_BUCKETS", 0)
-    seconds = clock(6, 200, 3, 40)
-    df = frame(spark, [packet(i, ts=t) for i, t in enumerate(seconds)]).drop(EPOCH)
-    assert [r[EPOCH] for r in epochs.epoch_chained(df, 8).orderBy("seq").collect()] == chained(seconds, 8)
+DAY = 86400
+
+
+@pytest.mark.parametrize("days,gap,span", [(90, DAY // 3, 1 << 21), (90, 40 * DAY, DAY), (400, DAY, 1 << 20)])
+def test_long_chained_epochs_in_short_spans(spark, monkeypatch, days, gap, span):
+    """Epochs that cover many spans, with spans in which nothing happens."""
+    monkeypatch.setattr(epochs, "SPAN_SECONDS", span)
+    assert epochs._span_seconds(days * DAY) <= span
+    seconds = clock(days, 500, gap, 300 * DAY)
+    df = frame(spark, [packet(3 * i, ts=t) for i, t in enumerate(seconds)]).drop(EPOCH).repartition(4)
+    got = [r[EPOCH] for r in epochs.epoch_chained(df, days * DAY).orderBy("seq").collect()]
+    assert got == chained(seconds, days * DAY)
+    starts = epochs.numbered_starts(df, days * DAY).orderBy(EPOCH).collect()
+    assert [s[EPOCH] for s in starts] == [*range(len(starts))]
+    assert max(got) in (len(starts) - 1, len(starts) - 2)
 
 
 def test_one_frame_and_long_epochs(spark):
@@ -139,3 +149,23 @@ def test_zoneless_time_is_utc_in_any_session_zone(spark):
             assert (row.tcp_flags, row.protocol, row.dst_port, row.total_len) == (2, 17, 19, 43)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_calendar_has_epochs_without_frames(spark):
+    rows = [packet(i, ts=t, src=f"s{i % 2}") for i, t in enumerate((100, 101, 155, 158, 159))]
+    frames = epochs.epoch_tumbling(frame(spark, rows).drop(EPOCH), 10)
+    calendar = report.epoch_calendar(frames, 10)
+    got = [tuple(r) for r in calendar.orderBy(EPOCH).collect()]
+    assert got == [(0, 100, 110, 2, 2), *[(e, 100 + 10 * e, 110 + 10 * e, 0, 2) for e in range(1, 5)], (5, 150, 160, 3, 5)]
+    lines = report.epoch_report(relational.reduce_exact(frames, ["src_ip"], 1), ["src_ip"], "count", 1)
+    full = report.full_report(calendar, lines).orderBy(EPOCH).collect()
+    assert [(r[EPOCH], r.flow_key, r.value) for r in full] == [*[(e, None, None) for e in range(5)], (5, "src_ip: s0", 2)]
+    assert report.epoch_calendar(frames.where("false"), 10).count() == 0
+
+
+def test_chained_calendar(spark):
+    frames = frame(spark, [packet(i, ts=t) for i, t in enumerate((100, 105, 130, 131, 145, 150))]).drop(EPOCH)
+    got = [tuple(r) for r in report.chained_calendar(frames, 10).orderBy(EPOCH).collect()]
+    # the frame that closes an epoch counts in it
+    assert got == [(0, 100, 130, 3, 3), (1, 130, 145, 2, 5), (2, 145, None, 1, 6)]
+    assert report.chained_calendar(frames.where("false"), 10).count() == 0

@@ -64,7 +64,6 @@ def test_sketch_tables_share_the_key_sums(spark, no_broadcast):
     for made in (
         counters.reduce_cms(df, keys, "total_len"),
         counters.reduce_fcm(df, keys, "total_len"),
-        membership.distinct_bloom(df, keys),
     ):
         made.collect()
         assert "ReusedExchange" in plan(made).split("== Initial Plan ==")[0]
