@@ -188,11 +188,12 @@ def reduce_fcm(
     sums only, so it is mergeable, order-free and never below the exact sum.
     ``"arrival"``: packets in ``seq`` order, the whole value is promoted once a
     counter is over its threshold, and the sketch is read at the key's last packet.
+    Values must not be negative there.
     """
     _check_tree(width_l1, width_l2, width_l3, threshold_l1, threshold_l2)
     t1, t2 = threshold_l1, threshold_l2
     if mode == "arrival":
-        return _reduce_arrival(df, keys, value, out, depth, width_l1, seed, hash, t1, t2)
+        return _reduce_arrival(df, keys, value, out, depth, width_l1, seed, hash, t1, t2, width_l2)
     if mode != "overflow":
         raise ValueError(f"unknown mode {mode!r}: use 'overflow' or 'arrival'")
     sums = _key_sums(df, keys, value)
@@ -215,6 +216,27 @@ def reduce_fcm(
     return _read(sums, estimates, keys, out, depth, width_l1, seed, hash)
 
 
+def crossings(rows: DataFrame, counter: Sequence[str], limit: int, out: str, block_bits: int = 20) -> DataFrame:
+    """For each ``counter`` whose sum of ``_v`` (never negative) passes ``limit``, the ``seq`` at which it does.
+
+    Sums of blocks of ``2**block_bits`` order values, combined map-side, tell the block
+    in which a counter passes; only that block is looked at packet by packet. The
+    result, a row per counter at most, is written out.
+    """
+    blocked = rows.withColumn("_block", F.shiftright(SEQ, block_bits))
+    totals = blocked.groupBy(*counter, "_block").agg(F.sum("_v").alias("_total"))
+    upto = Window.partitionBy(*counter).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passing = (
+        totals.withColumn("_upto", F.sum("_total").over(upto))
+        .withColumn("_before", F.col("_upto") - F.col("_total"))
+        .where((F.col("_upto") > limit) & (F.col("_before") <= limit))
+        .select(*counter, "_block", "_before")
+    )
+    inside = Window.partitionBy(*counter).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = blocked.join(passing, [*counter, "_block"]).withColumn("_upto", F.col("_before") + F.sum("_v").over(inside))
+    return cut_lineage(summed.where(F.col("_upto") > limit).groupBy(*counter).agg(F.min(SEQ).alias(out)))
+
+
 def _reduce_arrival(
     df: DataFrame,
     keys: Sequence[str],
@@ -226,9 +248,15 @@ def _reduce_arrival(
     hash: str,
     t1: int | None = None,
     t2: int | None = None,
+    width_l2: int = 0,
 ) -> DataFrame:
-    """Counters as they stand at each packet: one running sum per level, written out
-    between levels because the next one reads it twice."""
+    """Counters as they stand at each packet.
+
+    Sums only grow, so a counter passes its threshold once, at a ``seq`` that is found
+    first. Comparing with it tells the level at which a packet is counted last, and
+    the counter there holds just the packets of that level: one running sum per
+    level and counter, and nothing is stored but the crossing points.
+    """
     rows = slots(
         df.select(EPOCH, SEQ, *keys, _value(value).alias("_v")).where(F.col("_v").isNotNull()),
         keys,
@@ -240,22 +268,24 @@ def _reduce_arrival(
     if t1 is None:
         estimated = running_sum(rows, SLOT, SEQ, "_v", "_estimate")
     else:
-        # only packets over a level's threshold travel on to the next level
+        parent = (EPOCH, "_row", "_parent")
         rows = rows.withColumn("_parent", F.shiftright("_bucket", ARY_BITS))
-        rows = rows.withColumn("_root", F.shiftright("_parent", ARY_BITS))
-        rows = cut_lineage(running_sum(rows, SLOT, SEQ, "_v", "_v1"))
-        in_level1 = rows.where(F.col("_v1") <= t1)
-        rows = rows.where(F.col("_v1") > t1)
-        rows = cut_lineage(running_sum(rows, [EPOCH, "_row", "_parent"], SEQ, "_v", "_v2"))
-        in_level2 = rows.where(F.col("_v2") + t1 <= t2)
-        rows = rows.where(F.col("_v2") + t1 > t2)
-        in_level3 = running_sum(rows, [EPOCH, "_row", "_root"], SEQ, "_v", "_v3")
-        found = [EPOCH, SEQ, *keys, "_row"]
-        estimated = (
-            in_level1.select(*found, F.col("_v1").alias("_estimate"))
-            .unionByName(in_level2.select(*found, (F.col("_v2") + t1).alias("_estimate")))
-            .unionByName(in_level3.select(*found, (F.col("_v3") + t1 + t2).alias("_estimate")))
-        )
+        first = crossings(rows, SLOT, t1, "_first")
+        promoted = look_up(rows, first, SLOT, keys, width).where(F.col(SEQ) >= F.col("_first"))
+        second = crossings(promoted, parent, t2 - t1, "_second")
+        placed = look_up(look_up(rows, first, SLOT, keys, width, "left"), second, parent, keys, width_l2, "left")
+        never = F.lit(2**63 - 1)
+        at_first = F.col(SEQ) < F.coalesce("_first", never)
+        at_second = F.col(SEQ) < F.coalesce("_second", never)
+
+        def at(level: int, counter: Column, passed: int) -> Column:
+            return F.struct(F.lit(level).alias("_level"), counter.alias("_counter"), F.lit(passed).alias("_passed"))
+
+        root = F.shiftright("_parent", ARY_BITS)
+        level = F.when(at_first, at(1, F.col("_bucket"), 0)).when(at_second, at(2, F.col("_parent"), t1)).otherwise(at(3, root, t1 + t2))
+        leveled = placed.select(EPOCH, SEQ, *keys, "_row", "_v", level.alias("_at")).select(EPOCH, SEQ, *keys, "_row", "_v", "_at.*")
+        summed = running_sum(leveled, [EPOCH, "_row", "_level", "_counter"], SEQ, "_v", "_sum")
+        estimated = summed.withColumn("_estimate", F.col("_sum") + F.col("_passed"))
     return (
         estimated.groupBy(EPOCH, *keys, "_row")
         .agg(F.max_by("_estimate", SEQ).alias("_estimate"))

@@ -1,4 +1,10 @@
-"""Coupon collection: estimate load or distinct values from how many coupons a row has collected."""
+"""Coupon collection: estimate load or distinct values from how many coupons a row has collected.
+
+A row of coupons is kept as a bitmap: ``epoch_id, _row, _part, _bits``, with a ``_part``
+for each 32,768 coupons. Bitmaps are filled map-side, so a task ships at most 4 KB per
+row and part however many packets it has, and tables of bitmaps can be stored and
+united over tasks, days or sites.
+"""
 
 from __future__ import annotations
 
@@ -20,14 +26,29 @@ def coupon_estimate(collected: Column, num_coupons: int) -> Column:
     return F.when((collected > 0) & (collected < num_coupons), drawn).otherwise(F.lit(0).cast("long"))
 
 
-def _count_coupons(drawn: DataFrame, pairs: Sequence[str]) -> DataFrame:
-    # Spark first removes duplicate (epoch, row, coupon) triples map-side: a task
-    # ships at most num_rows * num_coupons of them per epoch
+def _collect(drawn: DataFrame, pairs: Sequence[str]) -> DataFrame:
     collected = drawn.selectExpr(EPOCH, f"inline(array({', '.join(pairs)}))")
-    return collected.groupBy(EPOCH, "_row").agg(F.countDistinct("_coupon").alias("_coupons"))
+    # bits are numbered from 1
+    return collected.groupBy(EPOCH, "_row", F.expr("bitmap_bucket_number(_coupon + 1)").alias("_part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_coupon + 1))").alias("_bits")
+    )
+
+
+def unite_bitmaps(bitmaps: DataFrame, epoch: Column | str = EPOCH) -> DataFrame:
+    """Bitmaps of the same row and ``epoch`` (of a union of tables, or of shorter epochs) in one."""
+    return (
+        bitmaps.withColumn(EPOCH, F.col(epoch) if isinstance(epoch, str) else epoch)
+        .groupBy(EPOCH, "_row", "_part")
+        .agg(F.expr("bitmap_or_agg(_bits)").alias("_bits"))
+    )
 
 
-def coupon_table(
+def coupons_held(bitmaps: DataFrame) -> DataFrame:
+    """``(epoch_id, _row, _coupons)``: different coupons of each row."""
+    return bitmaps.groupBy(EPOCH, "_row").agg(F.sum(F.expr("bitmap_count(_bits)")).alias("_coupons"))
+
+
+def coupon_bitmaps(
     df: DataFrame,
     keys: Sequence[str],
     num_rows: int = 8,
@@ -37,7 +58,7 @@ def coupon_table(
     seed: int = 42,
     hash: str = "md5",
 ) -> DataFrame:
-    """``(epoch_id, _row, _coupons)``: every packet draws its coupons in the ``d`` rows picked by its key.
+    """Bitmaps of the coupons that every packet draws in the ``d`` rows picked by its key.
 
     Draws are a hash of the packet's ``seq``, so they are random over packets but repeatable.
     """
@@ -47,10 +68,15 @@ def coupon_table(
         for i in range(d)
         for draw in (f"concat('{j}:', CAST({SEQ} AS STRING))" for j in range(max_coupons_per_packet))
     ]
-    return _count_coupons(df.selectExpr(EPOCH, SEQ, f"{key_text(keys)} AS _text"), pairs)
+    return _collect(df.selectExpr(EPOCH, SEQ, f"{key_text(keys)} AS _text"), pairs)
+
 
+def coupon_table(df: DataFrame, keys: Sequence[str], **params) -> DataFrame:
+    """``(epoch_id, _row, _coupons)`` of :func:`coupon_bitmaps`."""
+    return coupons_held(coupon_bitmaps(df, keys, **params))
 
-def attribute_coupon_table(
+
+def attribute_bitmaps(
     df: DataFrame,
     keys: Sequence[str],
     attribute: Sequence[str],
@@ -60,7 +86,7 @@ def attribute_coupon_table(
     seed: int = 42,
     hash: str = "md5",
 ) -> DataFrame:
-    """As ``coupon_table``, but equal attribute values draw equal coupons: rows count distinct values.
+    """As ``coupon_bitmaps``, but equal attribute values draw equal coupons: rows count distinct values.
 
     The coupon has a hash function of its own, so a key that picks one row twice draws no extra coupon.
     """
@@ -69,7 +95,7 @@ def attribute_coupon_table(
         f"{bucket(seed + d, '_attribute', num_coupons, hash)} AS _coupon)"
         for i in range(d)
     ]
-    return _count_coupons(df.selectExpr(EPOCH, f"{key_text(keys)} AS _text", f"{key_text(attribute)} AS _attribute"), pairs)
+    return _collect(df.selectExpr(EPOCH, f"{key_text(keys)} AS _text", f"{key_text(attribute)} AS _attribute"), pairs)
 
 
 def _look_up(
@@ -97,8 +123,23 @@ def reduce_beaucoup(
     hash: str = "md5",
 ) -> DataFrame:
     """Estimate per key from the fullest of its rows. Rows are shared, so this measures row load."""
-    table = coupon_table(df, keys, num_rows, num_coupons, d, max_coupons_per_packet, seed, hash)
-    found = _look_up(table, df, keys, num_rows, d, seed, hash)
+    bitmaps = coupon_bitmaps(df, keys, num_rows, num_coupons, d, max_coupons_per_packet, seed, hash)
+    return estimate_from(bitmaps, df, keys, out, num_rows, num_coupons, d, seed, hash)
+
+
+def estimate_from(
+    bitmaps: DataFrame,
+    probes: DataFrame,
+    keys: Sequence[str],
+    out: str = "count",
+    num_rows: int = 8,
+    num_coupons: int = 32768,
+    d: int = 3,
+    seed: int = 42,
+    hash: str = "md5",
+) -> DataFrame:
+    """Estimate per probe key from stored or united bitmaps."""
+    found = _look_up(coupons_held(bitmaps), probes, keys, num_rows, d, seed, hash)
     return found.select(EPOCH, *keys, coupon_estimate(F.col("_fullest"), num_coupons).alias(out))
 
 
@@ -114,9 +155,8 @@ def coupon_distinct(
     hash: str = "md5",
 ) -> DataFrame:
     """Estimated number of distinct ``attribute`` values in the fullest row of every key."""
-    table = attribute_coupon_table(df, keys, attribute, num_rows, num_coupons, d, seed, hash)
-    found = _look_up(table, df, keys, num_rows, d, seed, hash)
-    return found.select(EPOCH, *keys, coupon_estimate(F.col("_fullest"), num_coupons).alias(out))
+    bitmaps = attribute_bitmaps(df, keys, attribute, num_rows, num_coupons, d, seed, hash)
+    return estimate_from(bitmaps, df, keys, out, num_rows, num_coupons, d, seed, hash)
 
 
 def beaucoup_contains(

@@ -15,7 +15,7 @@ from packetloom import EPOCH
 from packetloom.functions import expressions as ex
 from packetloom.functions.ordering import positions
 from packetloom.functions.storage import scratch_path
-from packetloom.operators import counters, coupons, epochs, membership, relational, report, stats
+from packetloom.operators import counters, coupons, epochs, frequent, membership, relational, report, stats
 from packetloom.operators.methods import reduce_by
 from packetloom.plans import telemetry
 from packetloom.sources import capture
@@ -285,6 +285,16 @@ _QUERIES["reduce_elastic"] = _packets(lambda p: reduce_by(p, FLOW, "total_len",
 _QUERIES["reduce_beaucoup"] = _packets(
     lambda p: reduce_by(p, FLOW, 1, "beaucoup", "estimate", max_coupons_per_packet=2, **COUPON)
 )
+
+
+@register("beaucoup_merged")
+def beaucoup_merged(spark, folder):
+    """Bitmaps of half days, united to days."""
+    halves = coupons.coupon_bitmaps(tcp_only(_tumbling(spark, folder, DAY // 2)), FLOW, max_coupons_per_packet=2, **COUPON)
+    days = coupons.unite_bitmaps(halves, ex.floor_div(EPOCH, 2))
+    return coupons.estimate_from(days, tcp_only(_frames(spark, folder)), FLOW, "estimate", **COUPON)
+
+
 _QUERIES["coupon_distinct"] = _packets(
     lambda p: coupons.coupon_distinct(p, ["src_ip"], ["dst_ip", "dst_port"], **COUPON)
 )
@@ -346,6 +356,10 @@ _QUERIES["heavy_hitters"] = _packets(
 _QUERIES["heavy_hitters_approx"] = _packets(lambda p: stats.heavy_hitters_approx(p, ["src_ip"], 16))
 
 
+# fewer counters than there are addresses
+_QUERIES["frequent_keys"] = _packets(lambda p: frequent.frequent_keys(p, ["src_ip"], "total_len", 14, "total_len"))
+
+
 # --- telemetry queries ------------------------------------------------------------------
 
 

@@ -404,6 +404,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT epoch_id, 'src_ip: ' || src_ip AS flow_key, count FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY epoch_id ORDER BY count DESC, src_ip) AS n FROM ({_counts(['src_ip'])})) WHERE n <= 16"
         ),
+        "frequent_keys": _sql(
+            f"SELECT epoch_id, src_ip, total_len FROM ({_counts(['src_ip'], 'total_len', out='total_len')}) "
+            "JOIN (SELECT epoch_id, sum(total_len) AS every FROM packets GROUP BY epoch_id) USING (epoch_id) "
+            "WHERE total_len * 14 >= every"
+        ),
         # telemetry queries
         "q1_new_tcp": _sql(_counts(["dst_ip"], where="tcp_flags = 2") + " HAVING count(*) >= 2"),
         "q2_ssh_brute": _sql(
@@ -502,4 +507,5 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY epoch_start, dst_ip HAVING count(*) >= 2"
         ),
     }
+    oracles["beaucoup_merged"] = oracles["reduce_beaucoup"]
     return oracles

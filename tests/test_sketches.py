@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -93,6 +94,38 @@ def test_counter_tree_arrival_equals_loop(packets, rows):
     assert by_key(got, KEYS, "count") == loop_tree(rows, 2, 128, 2000, 9000)
 
 
+def test_arrival_stores_only_crossing_points(packets, rows, monkeypatch):
+    stored = []
+    cut = counters.cut_lineage
+
+    def counted(df):
+        made = cut(df)
+        stored.append((made.columns, made.count()))
+        return made
+
+    monkeypatch.setattr(counters, "cut_lineage", counted)
+    counters.reduce_fcm(packets, KEYS, "total_len", mode="arrival", **TREE).collect()
+    epochs_seen = len({r["epoch_id"] for r in as_dicts(rows)})
+    assert [c[-1] for c, _ in stored] == ["_first", "_second"]
+    assert stored[0][1] <= epochs_seen * TREE["depth"] * TREE["width_l1"] and stored[1][1] <= epochs_seen * TREE["depth"] * TREE["width_l2"]
+    assert all(n > 0 for _, n in stored)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 20])
+def test_crossings_equal_running_sums(spark, bits):
+    rng = random.Random(bits)
+    made = [(rng.randrange(4), i, rng.choice([0, 0, 1, 5, 40])) for i in range(400)]
+    df = spark.createDataFrame(made, "c int, seq long, _v long").repartition(5)
+    for limit in (0, 1, 300, 10**6):
+        total, expected = defaultdict(int), {}
+        for c, seq, v in made:
+            total[c] += v
+            if total[c] > limit:
+                expected.setdefault(c, seq)
+        assert {r.c: r.at for r in counters.crossings(df, ["c"], limit, "at", bits).collect()} == expected
+
+
+
 @pytest.mark.parametrize("hash", ["md5", "xxhash64"])
 @pytest.mark.parametrize(
     "method,params",
@@ -318,3 +351,20 @@ def test_heavy_hitters(packets, exact):
         mine = {r.flow_key.removeprefix("src_ip: "): r["count"] for r in approx if r[EPOCH] == epoch}
         assert all(counts[epoch, k] == n for k, n in mine.items())
         assert sorted(mine.values()) == sorted(n for (e, _), n in counts.items() if e == epoch)[-5:]
+
+
+def test_coupon_bitmaps_are_united(spark):
+    """Tables of parts of the packets give the table of all, also with more coupons than one bitmap holds."""
+    rows = random_packets(3000)
+    for n in (64, 100_000):
+        own = {"num_rows": 4, "num_coupons": n, "d": 2}
+        made = lambda some: coupons.coupon_bitmaps(frame(spark, some), KEYS, **own)
+        united = coupons.unite_bitmaps(made(rows[::2]).unionByName(made(rows[1::2])))
+        held = by_key(coupons.coupons_held(united), ["_row"], "_coupons")
+        assert held == by_key(coupons.coupon_table(frame(spark, rows), KEYS, **own), ["_row"], "_coupons")
+        draws = defaultdict(set)
+        for r in as_dicts(rows):
+            for i in range(2):
+                for j in range(2):
+                    draws[(r[EPOCH], place(i, text(r), 4))].add(place(i, f"{j}:{r['seq']}", n))
+        assert held == {k: len(v) for k, v in draws.items()}
