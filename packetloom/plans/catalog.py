@@ -21,6 +21,7 @@ from packetloom.plans import telemetry
 from packetloom.sources import capture
 from packetloom.sources.tables import clock_of_events, read_events, read_events_as_frames, tcp_only
 from packetloom.streaming import windows
+from packetloom.streaming.closing import EpochStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -415,3 +416,47 @@ def stream_q6(spark, folder):
 def stream_q1_flushed(spark, folder):
     frames = read_events_as_frames(spark, folder)
     return windows.with_open_epochs(stream_q1(spark, folder), frames, windows.new_tcp_connections, DAY, threshold=2)
+
+
+def _closing(run: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str) -> EpochStream:
+    """The events as a stream through a query on packets; calendar days close one after another."""
+    stream = EpochStream(spark, lambda frames: run(tcp_only(frames)), scratch_path(spark, "closing"), DAY, delay=0)
+    return stream.drain(windows.stream_events_as_frames(spark, folder))
+
+
+def _flushed(run: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: _closing(run, spark, folder).flushed().withColumnRenamed(EPOCH, "epoch_start")
+
+
+_QUERIES["stream_q2_flushed"] = _flushed(lambda p: telemetry.ssh_brute_force(p, 2))
+_QUERIES["stream_q3_flushed"] = _flushed(lambda p: telemetry.superspreader(p, 10))
+_QUERIES["stream_q4_bloom"] = _flushed(lambda p: telemetry.port_scan(p, 5, distinct_method="bloom", bloom=BLOOM))
+_QUERIES["stream_q5_fcm"] = _flushed(lambda p: telemetry.heavy_flows(p, 1, "fcm", TREE))
+_QUERIES["stream_q6_flushed"] = _flushed(lambda p: telemetry.syn_flood(p, 8))
+_QUERIES["stream_q7_flushed"] = _flushed(lambda p: telemetry.completed_flows(p, 1))
+_QUERIES["stream_q8_flushed"] = _flushed(lambda p: telemetry.slowloris(p, 500, 5))
+
+
+@register("stream_report")
+def stream_report(spark, folder):
+    """Report lines of the closed days, each day's written once as it closes."""
+
+    def lines(packets: DataFrame) -> DataFrame:
+        counts = relational.reduce_exact(packets, ["dst_ip", "src_ip"], 1)
+        return report.epoch_report(counts, ["dst_ip", "src_ip"], "count", 1)
+
+    return _closing(lines, spark, folder).results().withColumnRenamed(EPOCH, "epoch_start")
+
+
+@register("stream_late")
+def stream_late(spark, folder):
+    """One event in ten comes when all others have come: those of closed days are late, and kept apart."""
+    events = read_events(spark, folder)
+    inbox = scratch_path(spark, "inbox")
+    stream = EpochStream(spark, lambda frames: relational.reduce_exact(frames, ["src_ip"], 1), scratch_path(spark, "closing"), DAY, delay=0)
+    for some in (F.col("event_id") % 10 != 9, F.col("event_id") % 10 == 9):
+        events.where(some).write.mode("append").parquet(f"{inbox}/events.parquet")
+        stream.drain(windows.stream_events_as_frames(spark, inbox))
+    late = relational.reduce_exact(stream.late_frames(), ["src_ip"], 1, "late")
+    counted = stream.flushed().join(late, [EPOCH, "src_ip"], "full").fillna(0, ["count", "late"])
+    return counted.withColumnRenamed(EPOCH, "epoch_start")

@@ -31,6 +31,9 @@ frames AS (SELECT *, (ts_sec - (SELECT min(ts_sec) FROM timed)) // {seconds} AS
 packets AS (SELECT * FROM frames WHERE protocol = 6)"""
 
 
+_FRAMES_BY_DAY = f"frames AS (SELECT *, (ts_sec - (SELECT min(ts_sec) FROM timed)) // {DAY} AS epoch_id FROM timed)"
+
+
 def _sql(body: str, *ctes: str, seconds: int = DAY, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([_epochs(seconds), *ctes]) + "\n" + body
 
@@ -507,5 +510,26 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY epoch_start, dst_ip HAVING count(*) >= 2"
         ),
     }
+    # days of the calendar instead of days from the first frame on
+    by_calendar = f"frames AS (SELECT *, ts_sec // {DAY} * {DAY} AS epoch_id FROM timed)"
+    for stream, batch in {
+        "stream_q2_flushed": "q2_ssh_brute",
+        "stream_q3_flushed": "q3_superspreader",
+        "stream_q4_bloom": "q4_bloom",
+        "stream_q5_fcm": "q5_fcm",
+        "stream_q6_flushed": "q6_syn_flood",
+        "stream_q7_flushed": "q7_completed_flow",
+        "stream_q8_flushed": "q8_slowloris",
+        "stream_report": "epoch_report",
+    }.items():
+        own = oracles[batch].replace(_FRAMES_BY_DAY, by_calendar)
+        closed = "WHERE epoch_id < (SELECT max(ts_sec) // 86400 * 86400 FROM timed)" if stream == "stream_report" else ""
+        head, body = own.rsplit("\n", 1)
+        oracles[stream] = f"{head}\nSELECT * EXCLUDE (epoch_id), epoch_id AS epoch_start FROM ({body}) {closed}"
+    ten = "seq % 10 = 9 AND epoch_id < (SELECT max(ts_sec) // 86400 * 86400 FROM timed WHERE seq % 10 <> 9)"
+    oracles["stream_late"] = _sql(
+        f"SELECT epoch_id AS epoch_start, src_ip, CAST(sum(CASE WHEN {ten} THEN 0 ELSE 1 END) AS BIGINT) AS count, "
+        f"CAST(sum(CASE WHEN {ten} THEN 1 ELSE 0 END) AS BIGINT) AS late FROM frames GROUP BY epoch_id, src_ip"
+    ).replace(_FRAMES_BY_DAY, by_calendar)
     oracles["beaucoup_merged"] = oracles["reduce_beaucoup"]
     return oracles

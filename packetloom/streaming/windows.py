@@ -17,7 +17,7 @@ from packetloom import EPOCH
 from packetloom.functions.expressions import floor_div
 from packetloom.functions.storage import scratch_path
 from packetloom.operators.report import epoch_report
-from packetloom.sources.tables import EVENTS_SCHEMA, frames_from_events, tcp_only
+from packetloom.sources.tables import EVENTS_SCHEMA, FRAME_SCHEMA, frames_from_events, tcp_only
 
 FIN, SYN, FIN_ACK = 1, 2, 17
 
@@ -35,6 +35,14 @@ def stream_events_as_frames(spark: SparkSession, folder: str, max_files_per_trig
     return frames_from_events(reader.parquet(f"{folder}/events.parque[t]"))
 
 
+def stream_frames(spark: SparkSession, folder: str, format: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream frames that are stored in the layout of ``frames``, in any format that Spark streams from folders."""
+    reader = spark.readStream.format(format).schema(FRAME_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(folder)
+
+
 def windowed(frames: DataFrame, seconds: int, origin: int = 0, delay: str | None = None) -> DataFrame:
     """Add the epoch window. ``origin`` is any epoch start. Rows of a stream later than ``delay``
     behind the newest are dropped once their window is closed, so a stream must name it."""
