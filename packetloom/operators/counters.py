@@ -181,6 +181,7 @@ def reduce_fcm(
     seed: int = 42,
     hash: str = "md5",
     mode: str = "overflow",
+    heavy_threshold: int | None = None,
 ) -> DataFrame:
     """Estimate per key from a three-level, 8-ary tree of counters.
 
@@ -189,8 +190,15 @@ def reduce_fcm(
     ``"arrival"``: packets in ``seq`` order, the whole value is promoted once a
     counter is over its threshold, and the sketch is read at the key's last packet.
     Values must not be negative there.
+
+    With ``heavy_threshold`` a key ``is_heavy`` when its estimates in all rows exceed it.
     """
     _check_tree(width_l1, width_l2, width_l3, threshold_l1, threshold_l2)
+    if heavy_threshold is not None:
+        estimated = reduce_fcm(
+            df, keys, value, out, depth, width_l1, width_l2, width_l3, threshold_l1, threshold_l2, seed, hash, mode
+        )
+        return estimated.withColumn("is_heavy", F.col(out) > heavy_threshold)
     t1, t2 = threshold_l1, threshold_l2
     if mode == "arrival":
         return _reduce_arrival(df, keys, value, out, depth, width_l1, seed, hash, t1, t2, width_l2)

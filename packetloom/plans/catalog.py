@@ -276,6 +276,9 @@ _QUERIES["reduce_cms_arrival"] = _packets(
     lambda p: reduce_by(p, FLOW, "total_len", "cms", "total", mode="arrival", **CMS)
 )
 _QUERIES["reduce_fcm"] = _packets(lambda p: reduce_by(p, FLOW, "total_len", "fcm", "total", **TREE))
+_QUERIES["reduce_fcm_heavy"] = _packets(
+    lambda p: reduce_by(p, FLOW, "total_len", "fcm", "total", heavy_threshold=1000, **TREE)
+)
 _QUERIES["reduce_fcm_arrival"] = _packets(
     lambda p: reduce_by(p, FLOW, "total_len", "fcm", "total", mode="arrival", **TREE)
 )
@@ -386,6 +389,7 @@ _QUERIES["q3_bloom_cms"] = _packets(
 _QUERIES["q4_bloom"] = _packets(lambda p: telemetry.port_scan(p, 5, distinct_method="bloom", bloom=BLOOM))
 _QUERIES["q5_fcm"] = _packets(lambda p: telemetry.heavy_flows(p, 1, "fcm", TREE))
 _QUERIES["q6_cms"] = _packets(lambda p: telemetry.syn_flood(p, 8, "cms", CMS))
+_QUERIES["q7_cms"] = _packets(lambda p: telemetry.completed_flows(p, 1, "cms", CMS))
 _QUERIES["q8_bloom_cms"] = _packets(
     lambda p: telemetry.slowloris(p, 500, 3, "cms", CMS, distinct_method="bloom", bloom=BLOOM)
 )

@@ -335,6 +335,7 @@ def oracle_sql() -> dict[str, str]:
         "reduce_cms": _sql("SELECT * FROM est", *_minimum(FLOW, "total_len", 64, "total")),
         "reduce_cms_arrival": _arrival(levels=False),
         "reduce_fcm": _sql("SELECT * FROM est", *_tree(FLOW, "total_len", "total")),
+        "reduce_fcm_heavy": _sql("SELECT *, total > 1000 AS is_heavy FROM est", *_tree(FLOW, "total_len", "total")),
         "reduce_fcm_arrival": _arrival(levels=True),
         "reduce_fcm_l1": _sql("SELECT * FROM est", *_minimum(FLOW, "total_len", 64, "total")),
         "reduce_elastic": _sql(
@@ -481,6 +482,14 @@ def oracle_sql() -> dict[str, str]:
             *_minimum(["dst_ip"], "1", 64, "a", "syn", tag="_l"),
             *_minimum(["src_ip"], "1", 64, "b", "fin_ack", tag="_r"),
         ),
+        "q7_cms": _sql(
+            "SELECT l.epoch_id, l.dst_ip FROM est_l l JOIN est_r r "
+            "ON l.epoch_id = r.epoch_id AND l.dst_ip = r.src_ip WHERE l.a - r.b >= 1",
+            "syn AS (SELECT * FROM packets WHERE tcp_flags = 2)",
+            "fin AS (SELECT * FROM packets WHERE tcp_flags = 1)",
+            *_minimum(["dst_ip"], "1", 64, "a", "syn", tag="_l"),
+            *_minimum(["src_ip"], "1", 64, "b", "fin", tag="_r"),
+        ),
         "q8_bloom_cms": _sql(
             "SELECT l.epoch_id, l.dst_ip, l.total_len, r.count FROM est_l l JOIN est_r r "
             "ON l.epoch_id = r.epoch_id AND l.dst_ip = r.dst_ip WHERE l.total_len >= 500 AND r.count >= 3",
