@@ -21,6 +21,8 @@ K, TUPLE, CELLS = 8, 2, 64
 MAX_RANGES = 4096
 _POS_BITS = 20
 _POS = np.uint64((1 << _POS_BITS) - 1)
+# k-mers of a text up to which positions fit into the low bits; longer texts give the same numbers by another sort
+LONG = int(_POS)
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -48,20 +50,22 @@ def signature(text: str) -> np.ndarray:
         return np.zeros(CELLS, np.uint16)
     h = _kmers(points)
     at = np.arange(len(h), dtype=np.uint64)
-    if len(h) <= int(_POS):
+    if len(h) <= LONG:
         packed = np.sort((h & ~_POS) | at)  # 44 bits of hash, then the position
         pos, h = packed & _POS, packed & ~_POS
     else:
+        h = h & ~_POS  # the same bits as above; a longer position does not fit beside them
         pos = np.argsort(h, kind="stable").astype(np.uint64)
         h = h[pos]
     first = np.concatenate(([True], h[1:] != h[:-1]))
     occurrence = at - np.maximum.accumulate(np.where(first, at, 0))
     g = mix(h + occurrence * _ODD[0])
-    if len(h) <= int(_POS):
+    if len(h) <= LONG:
         packed = np.sort((g & ~_POS) | pos)
         pos, g = packed & _POS, packed & ~_POS
     else:
-        order = np.argsort(g, kind="stable")
+        g = g & ~_POS
+        order = np.lexsort((pos, g))
         pos, g = pos[order], g[order]
     edge = np.searchsorted(g >> np.uint64(58), np.arange(CELLS + 1, dtype=np.uint64))
     index = edge[:-1, None] + np.arange(TUPLE)

@@ -80,6 +80,8 @@ def candidates(raw: bytes, flags: np.ndarray) -> list[dict]:
     before or after it.
     """
     found = []
+    codes = np.frombuffer(raw, np.uint8)
+    counted = points = 0  # code points in the bytes before ``counted``
     for a, b in _runs(flags, MIN_CHARS):
         for m in NAMED.finditer(raw, a, b):
             a = m.end()
@@ -88,8 +90,9 @@ def candidates(raw: bytes, flags: np.ndarray) -> list[dict]:
             continue
         if not (SENSITIVE.search(before) or SENSITIVE.search(after)):
             continue
-        start = len(raw[:a].decode())
-        found.append({"start": start, "end": start + b - a, "before": before, "string": string, "after": after})
+        points += int(np.count_nonzero((codes[counted:a] & 0xC0) != 0x80))
+        counted = a
+        found.append({"start": points, "end": points + b - a, "before": before, "string": string, "after": after})
     return found
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import time
 from collections import Counter
 from fractions import Fraction
 from pathlib import Path
@@ -120,6 +121,30 @@ def test_order_matters():
 
 
 # --- secrets ---
+def test_fingerprints_do_not_depend_on_a_size(monkeypatch):
+    """The same signature whether positions fit beside the hashes or not, and near ones across the limit."""
+    text = prose(3, 3000) * 2
+    small = minhash.signature(text)
+    rng = np.random.default_rng(4)
+    long = "".join(chr(c) for c in rng.integers(97, 123, (1 << 20) + 40))
+    a, b = minhash.signature(long), minhash.signature(long[: 1 << 20])
+    assert minhash.likeness(a, b) > 0.95
+    # the branch for long texts, on the short one
+    monkeypatch.setattr(minhash, "LONG", 0)
+    assert (minhash.signature(text) == small).all()
+
+
+def test_many_candidates_in_a_long_text():
+    line = "pässword = Zx9Qk27LmN0pRt5V api_key: Qw3rTy6UiOp1AsD4\n"
+    text = line * 20_000
+    raw = text.encode()
+    start = time.perf_counter()
+    found = secrets.candidates(raw, secrets._RUN[np.frombuffer(raw, np.uint8)])
+    assert time.perf_counter() - start < 10  # quadratic counting took minutes
+    assert {text[c["start"] : c["end"]] for c in found} <= {"Zx9Qk27LmN0pRt5V", "Qw3rTy6UiOp1AsD4"}
+    assert len(found) >= 20_000 and found[-1]["start"] > len(text) - len(line)
+
+
 def test_secrets(spark):
     key = "Zx9Qw3Lk8Vb2Nm5Tp7Rd4Fs6"
     rows = [
