@@ -135,6 +135,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
+def _similar(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
+    """Which of the sets are as similar as ``t``."""
+    both = overlaps(sets)
+    n = np.array([len(s) for s in sets])
+    return both * t.denominator >= (n[:, None] + n[None, :] - both) * t.numerator
+
+
 def _forest(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the same documents as ``linked``: one fewer than documents in each group."""
     unseen, found = set(range(len(ids))), []
@@ -159,16 +166,64 @@ def _bucket_links(members: DataFrame, size: int, t: Fraction) -> DataFrame:
         found = []
         for a in range(0, len(ids), 2 * BUCKET):  # a bucket dealt by hash is rarely this large
             own = sets[a : a + 2 * BUCKET]
-            both = overlaps(own)
-            n = np.array([len(s) for s in own])
-            union = n[:, None] + n[None, :] - both
-            linked = (both * t.denominator >= union * t.numerator) & ~np.eye(len(own), dtype=bool)
-            found += _forest(ids[a : a + 2 * BUCKET], linked)
+            found += _forest(ids[a : a + 2 * BUCKET], _similar(own, t) & ~np.eye(len(own), dtype=bool))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return members.groupBy("token", "deal", "bucket").applyInArrow(links, "a long, b long")
 
 
+def _block_links(kept: DataFrame, labels: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Links between different components of documents that have their commonest prefix shingle in common.
+
+    Such a group of more than one bucket is cut into blocks; each block of
+    documents outside its main component meets each block of the group in one
+    task, which compares all of them by a product of matrices and returns no more
+    links than documents. So pairs of a hot group are neither listed nor shuffled.
+    """
+    known = kept.join(labels, "_id", "left").select("_id", "_text", "token", "held", F.coalesce("component", "_id").alias("component"))
+    known = known.where(F.col("held") > BUCKET)
+    groups = (
+        known.groupBy("token", "component")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("token")
+        .agg(F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("main"))
+        .where("total > main.c")
+        .select("token", F.col("main.component").alias("main"), *[F.ceil(x / BUCKET).alias(n) for n, x in (("all", F.col("total")), ("outer", F.col("total") - F.col("main.c")))])
+    )
+    marked = known.drop("held").join(groups, "token")
+    inner, outer = F.pmod(F.xxhash64("_id"), "all"), F.pmod(F.xxhash64("_id", F.lit(DEALS)), "outer")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda o: F.struct(o.alias("x"), inner.alias("y")))
+    asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda i: F.struct(outer.alias("x"), i.alias("y")))
+    places = F.when(F.col("component") == F.col("main"), met).otherwise(F.array_union(met, asked))
+    dealt = marked.withColumn("place", F.explode(places)).select("_id", "component", "_text", "token", "place.x", "place.y")
+
+    def links(table: pa.Table) -> pa.Table:
+        ids = table.column("_id").to_pylist()
+        own = np.array(table.column("component").to_pylist())
+        found = _forest(ids, _similar(_unpacked_sets(table.column("_text").to_pylist(), size), t) & (own[:, None] != own[None, :]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.groupBy("token", "x", "y").applyInArrow(links, "a long, b long")
+
+
+def _compared(kept: DataFrame, labels: DataFrame, stored) -> DataFrame:
+    """``_id, component``: classes within which no pair of documents needs another look.
+
+    A class is what a component, or what a group of one commonest shingle, has
+    of documents for which it is the larger of the two.
+    """
+    known = kept.select("_id", "token").join(labels, "_id", "left").select("_id", "token", F.coalesce("component", "_id").alias("component"))
+    both = stored(known.groupBy("component", "token").agg(F.count(F.lit(1)).alias("c"), F.min("_id").alias("least")), "classes")
+    linked = both.groupBy("component").agg(F.sum("c").alias("linked"))
+    grouped = both.groupBy("token").agg(F.sum("c").alias("grouped"))
+    chosen = both.join(linked, "component").join(grouped, "token").withColumn("by_link", F.col("linked") >= F.col("grouped"))
+    chosen = chosen.withColumn("of", F.when(F.col("by_link"), F.col("component")).otherwise(F.col("token")))
+    least = chosen.groupBy("by_link", "of").agg(F.min("least").alias("label"))
+    # written, so that the join may split a class that holds many documents
+    named = stored(chosen.join(least, ["by_link", "of"]).select("component", "token", "label"), "classes")
+    return known.join(named, ["component", "token"]).select("_id", F.col("label").alias("component"))
+
+
 def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of documents in different components that share as many prefix shingles as the more modest of them asks.
 
@@ -300,10 +355,11 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     2. Prefix shingles are chosen by document frequency (:func:`_prefixes`);
        shingles of one document only, most of all, go no further.
     3. Documents that share their most frequent prefix shingle are compared in
-       buckets of bounded size, which joins most of a large group of near copies.
-    4. Exactly the pairs that are still in different components and share enough
-       of their prefixes are verified. A hot shingle is cut into blocks; documents
-       outside its main component query all of them, those inside a part.
+       buckets of bounded size, which joins most of a large group of near copies;
+       those left outside the group's main component then meet all blocks of it.
+    4. Exactly the pairs that are in different components, were not compared yet
+       and share enough of their prefixes are verified. A hot shingle is cut into
+       blocks; documents outside its main class query all of them, those inside a part.
     """
     spark = docs.sparkSession
 
@@ -330,7 +386,7 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
 
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     entries = stored(entries.join(shared, "token").drop("df"), "postings")
-    wanted = entries.groupBy("_id").agg(F.max(F.struct("held", "token")).alias("top")).select("_id", "top.*")
+    wanted = entries.groupBy("_id").agg(F.max(F.struct("held", "token")).alias("top")).select("_id", "top.token")
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
@@ -339,7 +395,9 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
 
     # texts travel compressed, a third of the size of their sets; of several texts of one id the smallest counts
     once = pack(texts, "_text").groupBy("_id").agg(F.min("_text").alias("_text"))
-    chosen = once.join(wanted, "_id").select("_id", "_text", "held", "token")
+    # documents whose commonest shingle it is, not all that have it
+    held = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    chosen = once.join(stored(wanted.join(held, "token"), "tops"), "_id").select("_id", "_text", "held", "token")
     kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary"), "kept")
     # where several buckets share a shingle, its documents are dealt anew twice, which joins groups of different buckets
     deals = F.when(F.col("held") > BUCKET, F.lit(DEALS - 1)).otherwise(F.lit(0))
@@ -348,7 +406,10 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     )
     links = stored(_bucket_links(bucketed, size, threshold), "links")
     labels = stored(components(links).withColumnRenamed("node", "_id"), "labels")
-    found = stored(_verified(_candidates(entries.drop("held"), labels, threshold), kept, size, threshold), "links")
+    links = stored(links.unionByName(_block_links(kept, labels, size, threshold)), "links")
+    labels = components(links).withColumnRenamed("node", "_id")
+    classes = stored(_compared(kept, labels, stored), "labels")
+    found = stored(_verified(_candidates(entries.drop("held"), classes, threshold), kept, size, threshold), "links")
     final = components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component", "rep")).alias("component_id")

@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from packetloom.llm import bpe, decontaminate, jaccard_join, lines, minhash, ngram_model, secrets, sharding, suffixes, toxicity, vectors
 from packetloom.llm.components import components
+from packetloom.llm.packing import pack
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec".split()
@@ -343,6 +344,37 @@ def test_candidates_are_all_pairs_that_share_enough(spark, monkeypatch):
     assert bag(jaccard_join._candidates(entries, labels, Fraction(9, 10)), "a", "b") == expected
 
 
+def test_blocks_and_classes_leave_no_similar_pair_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    t = Fraction(9, 10)
+    texts = dict(enumerate(near_texts(9)))
+    sets = dict(zip(texts, jaccard_join._sets(list(texts.values()), 3), strict=True))
+    r = random.Random(4)
+    top = {i: r.choice([7, 7, 7, 8]) for i in texts}
+    rows = [(i, x, top[i], sum(top[i] == y for y in top.values())) for i, x in texts.items()]
+    kept = pack(spark.createDataFrame(rows, "_id long, _text string, token long, held long"), "_text")
+    labels = spark.createDataFrame([(i, 3) for i in range(3, 20)], "_id long, component long")
+    similar = {
+        (i, j)
+        for i in sets
+        for j in sets
+        if i < j and 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))
+    }
+    links = jaccard_join._block_links(kept, labels, 3, t)
+    found = {(min(a, b), max(a, b)) for a, b in bag(links, "a", "b")}
+    assert found and found <= similar
+    joined = links.unionByName(spark.createDataFrame([(3, i) for i in range(4, 20)], "a long, b long"))
+    grouped = jaccard_join.components(joined).withColumnRenamed("node", "_id")
+    component = {i: i for i in texts} | dict(bag(grouped, "_id", "component").keys())
+    assert all(component[i] == component[j] for i, j in similar if top[i] == top[j])
+    # a class holds one component, or documents of one commonest shingle
+    classes = dict(bag(jaccard_join._compared(kept, grouped, lambda df, _: df), "_id", "component").keys())
+    assert set(classes) == set(texts)
+    for c in set(classes.values()):
+        members = [i for i in classes if classes[i] == c]
+        assert len({component[i] for i in members}) == 1 or len({top[i] for i in members}) == 1
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.similar_groups(empty).collect() == []
 
