@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.storage import scratch_path
@@ -159,6 +159,18 @@ def _runs(starts: list[int], shift: int) -> list[dict]:
     return [{"lo": int(a) + shift, "hi": int(b) + shift} for a, b in zip(s[first], s[last], strict=True)]
 
 
+def _united(runs: str) -> Column:
+    """Sorted runs with those that overlap or touch as one."""
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last.lo.alias("lo"), F.greatest(last.hi, run.hi).alias("hi"))
+        touches = (F.size(done) > 0) & (last.hi + 1 >= run.lo)
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(runs, F.array().cast(_RUNS), add)
+
+
 _RUN_ARROW = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
@@ -273,11 +285,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = stored(
         texts.mapInArrow(find, "_id long, _mark long, key long, context long, anchor int, first int, last int"), "anchors"
     )
-    again = (
+    # written, so that the join below may split a key of many places
+    again = stored(
         places.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
         .where("n > 1")
-        .select("key", (F.col("c0") < F.col("c1")).alias("mixed"))
+        .select("key", (F.col("c0") < F.col("c1")).alias("mixed")),
+        "keys",
     )
     places = stored(places.join(again, "key"), "repeated")
     alike = places.where("not mixed").select("_id", "_mark", F.col("first").cast("long").alias("lo"), F.col("last").cast("long").alias("hi"))
@@ -323,10 +337,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         level = level.join(kinds.where(F.col("kinds") > MOST).select("key"), "key", "left_semi")
         if width == 1 or level.isEmpty():
             break
+    # one row for a context, whose starts are at most _GRAMS, so a place meets one row
+    solved = solved.groupBy("anchor_key", "anchor_context").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    solved = stored(solved.withColumn("runs", _united("runs")), "runs")
     mixed = (
         places.where("mixed")
         .select("_id", "_mark", F.col("key").alias("anchor_key"), F.col("context").alias("anchor_context"), "anchor")
         .join(solved, ["anchor_key", "anchor_context"])
+        .select("_id", "_mark", "anchor", F.explode("runs").alias("run"))
         .select("_id", "_mark", (F.col("anchor") + F.col("run.lo")).alias("lo"), (F.col("anchor") + F.col("run.hi")).alias("hi"))
     )
     return alike.unionByName(mixed)
