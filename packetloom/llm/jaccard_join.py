@@ -22,6 +22,8 @@ MOST_MATCHES, VERIFY_COST = 4, 20.0
 #: documents that are compared directly with each other in one go
 BUCKET = 256
 DEALS = 3
+#: counters of a document's shingles by hash, a byte each
+BINS = 64
 _SLICE = 1 << 20
 
 
@@ -224,7 +226,30 @@ def _compared(kept: DataFrame, labels: DataFrame, stored) -> DataFrame:
     return known.join(named, ["component", "token"]).select("_id", F.col("label").alias("component"))
 
 
-def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+def _counters(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of ``BINS`` by their hash; 255 stands for all larger numbers."""
+    return np.minimum(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _counter_rows(column: pa.Array) -> np.ndarray:
+    """A row of ``BINS`` numbers for each value of a column of :func:`_counters`."""
+    if not len(column):
+        return np.zeros((0, BINS), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + len(column) * BINS].reshape(-1, BINS)
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs of sets of ``n`` and ``m`` shingles may be as similar as ``t``, by rows of their counters.
+
+    Two sets share at most the smaller number of each bin; where both numbers are 255 that is not known.
+    """
+    least = np.minimum(x, y)
+    both = least.sum(1, dtype=np.int64)
+    return (both * t.denominator >= (n + m - both) * t.numerator) | (least == 255).any(1)
+
+
+def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: DataFrame | None = None) -> DataFrame:
     """Pairs of documents in different components that share as many prefix shingles as the more modest of them asks.
 
     In the postings of a shingle all documents but those of its commonest
@@ -232,7 +257,8 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
     component need no look. Documents of the commonest component query those of
     components with a smaller id. So of any two documents the one of the larger
     component id meets the other at every shingle that they share, and its count
-    is whole.
+    is whole. A pair that cannot be similar by its ``counters`` is left out where
+    it meets, so pairs of a hot group of unlike documents are not listed.
     """
     fields = ("_id", "n", "matches", "component")
     labelled = entries.join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
@@ -250,6 +276,8 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
         .select("token", "total", F.col("main.c").alias("held"), (-F.col("main.less")).alias("main"), "least")
     )
     marked = labelled.join(mixed, "token")
+    # counters at 255 rule out nothing
+    marked = marked.withColumn("counters", F.lit(b"\xff" * BINS)) if counters is None else marked.join(counters, "_id")
     outside, before = F.col("component") != F.col("main"), F.col("component") < F.col("main")
     # range 0 of a shingle has all its postings, range 1 those of components before its commonest one
     posted = marked.withColumn("range", F.explode(F.when(before, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
@@ -257,24 +285,41 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
     blocks = (
         posted.withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(most / BUCKET)))
         .groupBy("token", "range", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("_id", "n", "matches", "component"))).alias("posts"))
+        .agg(F.sort_array(F.collect_list(F.struct(*fields, "counters"))).alias("posts"))
         # an array per field: sorted ids and near equal numbers shrink well in a shuffle, structs do not
-        .select("token", "range", *[F.col(f"posts.{f}").alias(f"post{f}") for f in fields])
+        .select("token", "range", *[F.col(f"posts.{f}").alias(f"post{f}") for f in (*fields, "counters")])
     )
     asking = marked.where(outside | (F.col("least") < F.col("main")))
-    asked = asking.select("token", F.when(outside, 0).otherwise(1).alias("range"), *fields).join(blocks, ["token", "range"])
+    asked = asking.select("token", F.when(outside, 0).otherwise(1).alias("range"), *fields, "counters").join(blocks, ["token", "range"])
+    columns = [*fields, *[f"post{f}" for f in fields]]
+
+    def likely(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(rows):
+            posts = batch.column(5)
+            sizes = np.diff(posts.offsets.to_numpy())
+            query = np.repeat(np.arange(batch.num_rows), sizes)
+            n, component = (batch.column(i).to_numpy()[query] for i in (1, 3))
+            post = [batch.column(5 + i).flatten() for i in range(5)]
+            m = post[1].to_numpy()
+            keep = post[3].to_numpy() != component
+            keep &= np.minimum(n, m) * t.denominator >= np.maximum(n, m) * t.numerator
+            at = np.flatnonzero(keep)
+            x, y = _counter_rows(batch.column(4))[query[at]], _counter_rows(post[4])[at]
+            at = at[possible(x, y, n[at], m[at], t)]
+            left = np.bincount(query[at], minlength=batch.num_rows)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, p.take(pa.array(at))) for p in post[:4]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], columns).filter(pa.array(left > 0))
 
     def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, held = None, []
 
         def pairs() -> list[tuple[int, int]]:
-            own, n, matches, component = query
+            own, _, matches, _ = query
             post = np.concatenate(held)
             other, first, shared = np.unique(post[:, 0], return_index=True, return_counts=True)
             post = post[first]
-            small, large = np.minimum(post[:, 1], n), np.maximum(post[:, 1], n)
-            keep = (shared >= np.minimum(post[:, 2], matches)) & (post[:, 3] != component)
-            keep &= small * t.denominator >= large * t.numerator
+            keep = shared >= np.minimum(post[:, 2], matches)
             return [(min(own, o), max(own, o)) for o in other[keep].tolist()]
 
         for batch in rows:
@@ -292,7 +337,9 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame
             last = pairs()
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in last], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    by_query = asked.repartition("_id").sortWithinPartitions("_id").select(*fields, *[f"post{f}" for f in fields])
+    met = asked.select(*fields, "counters", *[f"post{f}" for f in (*fields, "counters")])
+    kind = ", ".join([*[f"{f} long" for f in fields], *[f"post{f} array<long>" for f in fields]])
+    by_query = met.mapInArrow(likely, kind).repartition("_id").sortWithinPartitions("_id").select(*columns)
     return by_query.mapInArrow(match, "a long, b long").distinct()
 
 
@@ -360,6 +407,7 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     4. Exactly the pairs that are in different components, were not compared yet
        and share enough of their prefixes are verified. A hot shingle is cut into
        blocks; documents outside its main class query all of them, those inside a part.
+       Counters of shingles by hash rule out most unlike pairs before these are listed.
     """
     spark = docs.sparkSession
 
@@ -390,15 +438,16 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
 
     def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
-            made = [_sketch(s) for s in _unpacked_sets(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "sketch"])
+            sets = _unpacked_sets(batch.column(1).to_pylist(), size)
+            made = [pa.array([f(s) for s in sets], pa.binary()) for f in (_sketch, _counters)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "sketch", "counters"])
 
     # texts travel compressed, a third of the size of their sets; of several texts of one id the smallest counts
     once = pack(texts, "_text").groupBy("_id").agg(F.min("_text").alias("_text"))
     # documents whose commonest shingle it is, not all that have it
     held = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     chosen = once.join(stored(wanted.join(held, "token"), "tops"), "_id").select("_id", "_text", "held", "token")
-    kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary"), "kept")
+    kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary, counters binary"), "kept")
     # where several buckets share a shingle, its documents are dealt anew twice, which joins groups of different buckets
     deals = F.when(F.col("held") > BUCKET, F.lit(DEALS - 1)).otherwise(F.lit(0))
     bucketed = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), deals))).select(
@@ -409,7 +458,7 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     links = stored(links.unionByName(_block_links(kept, labels, size, threshold)), "links")
     labels = components(links).withColumnRenamed("node", "_id")
     classes = stored(_compared(kept, labels, stored), "labels")
-    found = stored(_verified(_candidates(entries.drop("held"), classes, threshold), kept, size, threshold), "links")
+    found = stored(_verified(_candidates(entries.drop("held"), classes, threshold, kept.select("_id", "counters")), kept, size, threshold), "links")
     final = components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component", "rep")).alias("component_id")
