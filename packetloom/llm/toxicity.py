@@ -43,6 +43,8 @@ _MIN_Z = 4.0
 _RIDGE = 1.0
 #: similarity from which a labelled text is a copy, and texts that are compared with one text in one deal
 NEAR, _DEAL = Fraction(4, 5), 256
+#: bits that tell which ids may be labelled, in bitmaps of 32768 (what Spark makes of a group)
+_BITS, _BITMAP = 1 << 25, 32768
 _MEMO = 300_000
 _SLICE = 1 << 18
 
@@ -409,6 +411,26 @@ def _without_copies(labelled: DataFrame) -> DataFrame:
     return labelled.join(kept, ["_id", "toxic", "_h1", "_h2"])
 
 
+def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``_id`` is among ``ids``, and some others: those whose hash has the bit of one of them.
+
+    The bits take 4 MB at most, whatever the number of ids, and are sent to every
+    worker; so a join that follows need not shuffle the texts of most other rows.
+    Ids that a join would compare as another type all stay.
+    """
+    one, other = (x.schema["_id"].dataType for x in (rows, ids))
+    if not (one == other == T.StringType() or isinstance(one, T.IntegralType) and isinstance(other, T.IntegralType)):
+        return rows
+    if one != other:  # equal numbers of two types have different hashes
+        return _may_be_in(rows.withColumn("_id", F.col("_id").cast("long")), ids.select(F.col("_id").cast("long")))
+    hashed = F.pmod(F.xxhash64("_id"), F.lit(_BITS))
+    at = F.pmod(hashed, F.lit(_BITMAP))
+    bits = ids.select(F.floor(hashed / _BITMAP).alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumns({"_part": F.floor(hashed / _BITMAP), "_at": at})
+    return placed.join(F.broadcast(bits), "_part").where(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
     """Learn from the ``docs`` that ``labels`` marks 0 or 1, with character counts of all ``docs``.
 
@@ -422,7 +444,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
     path = scratch_path(docs.sparkSession, "labelled")
-    keyed = _keyed(texts.join(marks.distinct(), "_id").select("_id", "toxic", "_text"))
+    keyed = _keyed(_may_be_in(texts, marks).join(marks.distinct(), "_id").select("_id", "toxic", "_text"))
     keyed.write.parquet(path)
     labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
     rows = cut_lineage(_without_copies(labelled).select("_text", "toxic", F.xxhash64("_id").alias("_order")))
