@@ -4,26 +4,28 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from packetloom.llm import jaccard_join
 from packetloom.llm.vectors import shingle_sets
 
 
-def test_unlike_pairs_of_a_hot_group_are_not_listed(spark, monkeypatch):
+# as op6_jaccard_join and as the pipeline joins; a changed word changes ``size`` shingles
+@pytest.mark.parametrize("t, size, changes", [(Fraction(9, 10), 3, (1, 12, 14, 16)), (Fraction(4, 5), 5, (1, 7, 8, 9))])
+def test_unlike_pairs_of_a_hot_group_are_not_listed(spark, monkeypatch, t, size, changes):
     r = random.Random(3)
     base = [f"w{i}" for i in range(150)]
     texts = []
     for _ in range(120):
         words = list(base)
-        for at in r.sample(range(150), r.choice([1, 12, 14, 16])):  # a changed word changes three shingles
+        for at in r.sample(range(150), r.choice(changes)):
             words[at] = f"x{r.randrange(10**9)}"
         texts.append(" ".join(words))
-    t = Fraction(9, 10)
-    sets = shingle_sets([x.encode() for x in texts], 3)
+    sets = shingle_sets([x.encode() for x in texts], size)
 
     def similar(i, j):
         both = len(np.intersect1d(sets[i], sets[j]))
-        return 10 * both >= 9 * (len(sets[i]) + len(sets[j]) - both)
+        return both >= t * (len(sets[i]) + len(sets[j]) - both)
 
     links = {(i, j) for i in range(len(texts)) for j in range(i) if similar(i, j)}
     listed = []
@@ -38,7 +40,7 @@ def test_unlike_pairs_of_a_hot_group_are_not_listed(spark, monkeypatch):
     for name in ("_bucket_links", "_block_links"):
         monkeypatch.setattr(jaccard_join, name, lambda *_: spark.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(jaccard_join, "_compared", lambda kept, *_: kept.select("_id", jaccard_join.F.col("_id").alias("component")))
-    got = jaccard_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), t, 3)
+    got = jaccard_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), t, size)
     label = {i: i for i in range(len(texts))}
     for _ in texts:
         for i, j in links:
