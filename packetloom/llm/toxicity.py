@@ -8,9 +8,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ JUNK = set("*#$%&.,-_~^+=|'\"`:;/\\!?<>[](){}")
 _LEET_COST, _JUNK_COST, _REPEAT_COST, _ODD_COST, _BLANK_COST = -2.5, -3.0, -2.5, -5.0, -1.0
 _EDGES = b".,;:?!\"'()[]{}<>"
 #: two or more tokens of at most three characters in a row: blanks between these may be no word boundaries
-_SHORT = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+_SHORT = re.compile(r"(?<!\S)\S{1,3}+(?:\s++\S{1,3}+(?!\S))++")
 _RUN, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 
 # --- the character model: a-z are 1-26, other letters share 27-62, all else is 0 ---
@@ -56,6 +58,14 @@ def _code(ch: str) -> int:
     return 27 + o % 36 if ch.isalpha() else 0
 
 
+@cache
+def _readings(ch: str) -> tuple[list[tuple[str, int, float]], bool, set[str]]:
+    """What a character can be read as, with code and cost; whether as junk; the letters it may repeat."""
+    found = [(x, _code(x), _LEET_COST) for x in LEET.get(ch, "")]
+    found.append((ch, _code(ch), 0.0 if ch.isalpha() else _ODD_COST))
+    return found, ch in JUNK, {x for x, _, _ in found}
+
+
 def plain_word(token: bytes) -> str | None:
     """The word of an ordinary token in lower case, without punctuation at its ends; None if it needs decoding."""
     word = token.strip(_EDGES).decode("utf-8", "replace").lower()
@@ -95,7 +105,7 @@ class Restorer:
         self.logp = model.logp.tolist()
         self.words, self.known = frozenset(words), frozenset(known)
         self.kinds = {_kind(w) for w in self.words}
-        self.may_hold = _any_of(self.kinds)
+        self.tokens, self.stretches = (_any_of(self.words, blanks) for blanks in ("", " "))
 
     def decode(self, token: str) -> str:
         """The likeliest intended spelling of ``token``, or of several with blanks between them.
@@ -116,16 +126,11 @@ class Restorer:
                             ahead[state] = (total, way)
                 states = ahead
                 continue
-            letter = ch.isalpha()
-            readings = [(x, _LEET_COST) for x in LEET.get(ch, "")]
-            readings.append((ch, 0.0 if letter else _ODD_COST))
-            junk = ch in JUNK
-            spelled = {x for x, _ in readings}
+            readings, junk, spelled = _readings(ch)
             ahead: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in states.items():
                 row = self.logp[a][b]
-                for x, cost in readings:
-                    c = _code(x)
+                for x, c, cost in readings:
                     total = score + cost + row[c]
                     if total > ahead.get((b, c), (-math.inf,))[0]:
                         ahead[b, c] = (total, (path, x))
@@ -149,13 +154,16 @@ class Restorer:
             return self.decode(plain)
         return plain
 
-    def rejoined(self, text: str) -> Iterator[str]:
-        """Words of the decoded stretches of short tokens that can hold a word of the lexicon."""
-        stretches = _SHORT.findall(text)
-        if stretches and self.may_hold.search("\0".join(stretches).lower().translate(_AS_KIND)):
-            for stretch in set(stretches):
-                if self.may_hold.search(stretch.lower().translate(_AS_KIND)):
-                    yield from self.decode(" ".join(stretch.split())).split(" ")
+    def likely(self, parts: list[str], pattern: re.Pattern) -> Iterator[int]:
+        """Places of those of ``parts`` of which the channel can make a word of the lexicon: all others are no work."""
+        joined = "\n".join(parts).lower().translate(_AS_KIND)
+        place, last, at = 0, -1, 0
+        for m in pattern.finditer(joined):
+            place += joined.count("\n", at, m.start())
+            at = m.start()
+            if place != last:
+                yield place
+                last = place
 
     def text(self, text: str) -> str:
         """The whole text with every token restored and stretches of short tokens decoded together."""
@@ -167,13 +175,13 @@ class Restorer:
         return " ".join([*out, *(self.word(t) for t in text[at:].encode().split())])
 
 
-# --- which letters a character can end up as: digits and i, l stand for one kind; symbols that may be junk stay ---
+# --- which letters a character can end up as: digits and i, l stand for one kind; symbols that may be junk, blanks and line ends stay ---
 _BOTH = {ch: letters for ch, letters in LEET.items() if ch in JUNK}
 _AS_KIND = str.maketrans(
     {"l": "i"}
     | {ch: letters[0] for ch, letters in LEET.items() if ch not in JUNK}
     | dict.fromkeys((ch for ch in JUNK if ch not in LEET), "")
-    | dict.fromkeys(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "")
+    | dict.fromkeys(map(chr, [9, *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "")
 )
 
 
@@ -182,26 +190,29 @@ def _kind(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word.replace("l", "i"))
 
 
-def _any_of(kinds: Iterable[str]) -> re.Pattern:
-    """Matches every string of :data:`_AS_KIND` from which the channel may make a word of one of ``kinds``."""
+def _any_of(words: Iterable[str], blanks: str) -> re.Pattern:
+    """Matches in every line of :data:`_AS_KIND` from which the channel may make one of ``words``.
+
+    Lines are single tokens, or with ``blanks`` stretches of them. A word begins
+    where a token begins and ends where one ends; junk may stand around it.
+    """
     trie: dict = {}
-    for kind in kinds:
+    for word in words:
         node = trie
-        for ch in kind:
+        for ch in _kind(_kind(word).translate(_AS_KIND)):
             node = node.setdefault(ch, {})
         node[""] = {}
+    either_way = re.escape("".join(_BOTH))
 
     def rule(node: dict) -> str:
-        if "" in node:
-            return ""
-        either = []
+        either = [f"(?![^\n{blanks}])"] if "" in node else []
         for ch, ahead in sorted(node.items()):
-            own = re.escape(ch + "".join(x for x, to in _BOTH.items() if ch in to.replace("l", "i")))
-            rest = re.escape(ch + "".join(_BOTH))
-            either.append(f"[{own}][{rest}]*{rule(ahead)}")
+            if ch:
+                own = re.escape(ch + "".join(x for x, to in _BOTH.items() if ch in to.replace("l", "i")))
+                either.append(f"[{own}][{re.escape(ch)}{either_way}{blanks}]*{rule(ahead)}")
         return f"(?:{'|'.join(either)})"
 
-    return re.compile(rule(trie) if trie else r"(?!)")
+    return re.compile(f"(?<![^\n{blanks}])[{either_way}]*{rule(trie)}" if trie else r"(?!)")
 
 
 @dataclass
@@ -224,23 +235,44 @@ class Scorer:
         self.weights = list(model.weights.values())
         self.index = {w: i for i, w in enumerate(self.words)}
         self.bias = model.bias
-        self.memo: dict[bytes, int] = {}
+        self.seen: tuple[set, set] = (set(), set())
+        self.held: tuple[dict, dict] = ({}, {})
 
     def found(self, text: str) -> set[int]:
         """Which words of the lexicon the restored text has."""
-        tokens = set(text.encode().split())
-        known = set(map(self.memo.get, tokens))
-        if None in known:
-            for t in tokens:
-                if t not in self.memo:
-                    if len(self.memo) >= _MEMO:
-                        self.memo.clear()
-                    at = self.index.get(self.restorer.word(t), -1)
-                    if len(t) <= 64:
-                        self.memo[t] = at
-                    known.add(at)
-        known.update(self.index.get(w, -1) for w in self.restorer.rejoined(text))
-        return known - {None, -1}
+        tokens, stretches = set(text.encode().split()), set(_SHORT.findall(text))
+        known: set[int] = set()
+        for kind, parts in enumerate((tokens, stretches)):
+            seen, held = self.seen[kind], self.held[kind]
+            new = list(parts - seen)
+            if len(seen) + len(new) > _MEMO:
+                seen.clear()
+                held.clear()
+                new = list(parts)
+            seen.update(x for x in new if len(x) <= 64)
+            known.update(*(held[x] for x in parts & held.keys()))
+            if not new:
+                continue
+            for x, at in self._of_stretches(new) if kind else self._of_tokens(new):
+                known |= at
+                if len(x) <= 64:
+                    held[x] = at
+        return known
+
+    def _of_tokens(self, tokens: list[bytes]) -> Iterator[tuple[bytes, set[int]]]:
+        """The tokens that are words of the lexicon, with these."""
+        for i in self.restorer.likely(b"\n".join(tokens).decode().split("\n"), self.restorer.tokens):
+            at = self.index.get(self.restorer.word(tokens[i]))
+            if at is not None:
+                yield tokens[i], {at}
+
+    def _of_stretches(self, stretches: list[str]) -> Iterator[tuple[str, set[int]]]:
+        """The stretches of short tokens that have words of the lexicon when decoded, with these."""
+        joined = [" ".join(x.split()) for x in stretches]
+        for i in self.restorer.likely(joined, self.restorer.stretches):
+            at = {self.index[w] for w in self.restorer.decode(joined[i]).split(" ") if w in self.index}
+            if at:
+                yield stretches[i], at
 
     def score(self, text: str) -> float:
         x = self.bias + sum(self.weights[i] for i in sorted(self.found(text)))
@@ -297,10 +329,11 @@ def _lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
     """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in rows:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[toxic].update({w for t in set(text.encode().split()) if (w := plain_word(t)) and len(w) <= 64})
+                seen[toxic].update({w for t in set(unpack(text).split()) if (w := plain_word(t)) and len(w) <= 64})
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), *[pa.array([s[w] for w in words], pa.int64()) for s in seen]],
@@ -352,25 +385,28 @@ def _logistic(found: list[list[int]], labels: np.ndarray, size: int) -> tuple[np
     return w, bias
 
 
-def _keyed(labelled: DataFrame) -> DataFrame:
-    """``_id, toxic, _text`` with a 128-bit hash of the text's five-word shingles and ``_key``, the smallest of these.
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The ``rows`` with a 128-bit hash of the five-word shingles of ``_text``, their last column, and ``_key``, the smallest of these.
 
     Near copies mostly share the key, but so do texts with a passage in common.
+    The text is compressed, as it is shuffled and written next.
     """
 
-    def smallest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(rows):
-            keys, h1, h2 = [], [], []
-            for text in batch.column(2).to_pylist():
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in small(batches):
+            keys, h1, h2, packed = [], [], [], []
+            for text in batch.columns[-1].to_pylist():
                 shingles = vectors.shingle_sets([text.encode()], 5)[0]
                 keys.append(int(shingles[0].view(np.int64)) if len(shingles) else 0)
                 h1.append(int(vectors.mix(shingles).sum().view(np.int64)))
                 h2.append(int(vectors.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
-            added = [pa.array(c, pa.int64()) for c in (keys, h1, h2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_key", "_h1", "_h2"])
+                packed.append(compress(text.encode()))
+            added = [pa.array(packed, pa.binary()), *[pa.array(c, pa.int64()) for c in (keys, h1, h2)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*batch.schema.names, "_key", "_h1", "_h2"])
 
-    new = [T.StructField(c, T.LongType()) for c in ("_key", "_h1", "_h2")]
-    return labelled.mapInArrow(smallest, T.StructType([*labelled.schema.fields, *new]))
+    new = [T.StructField("_text", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("_key", "_h1", "_h2")]]
+    return rows.mapInArrow(smallest, T.StructType([*rows.schema.fields[:-1], *new]))
 
 
 def _without_copies(labelled: DataFrame) -> DataFrame:
@@ -379,6 +415,9 @@ def _without_copies(labelled: DataFrame) -> DataFrame:
     Of texts with equal shingle sets the smallest id stands for all. Where
     several sets share a key, those with a Jaccard similarity of at least
     ``NEAR`` with the set of the smallest id are left out; all others stay.
+
+    Ids and hashes are judged apart from the texts, of which only those that are
+    compared or have an id (or its bit) of a copy are shuffled.
     """
     own = ["_key", "toxic", "_h1", "_h2"]
     firsts = labelled.groupBy(*own).agg(F.min("_id").alias("_id"))
@@ -389,46 +428,70 @@ def _without_copies(labelled: DataFrame) -> DataFrame:
         # a key of many rows is dealt to several tasks
         .withColumn("deals", F.ceil(F.col("size") / _DEAL))
     )
+    groups = cut_lineage(groups)
     leader = groups.select("_key", "toxic", "first.*", "deals")
-    leads = leader.join(labelled, [*own, "_id"]).groupBy("_key", "toxic", "deals").agg(F.min("_text").alias("_lead"))
+    leads = leader.join(_may_be_in(labelled, leader), [*own, "_id"]).groupBy("_key", "toxic", "deals").agg(F.min("_text").alias("_lead"))
     dealt = leads.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
-    others = firsts.join(groups.select("_key", "toxic", "deals", F.col("first._id").alias("_first")), ["_key", "toxic"]).where("_id <> _first")
-    texts = labelled.join(others, [*own, "_id"]).withColumn("deal", F.pmod(F.xxhash64("_id"), "deals"))
+    others = cut_lineage(firsts.join(groups.select("_key", "toxic", "deals", F.col("first._id").alias("_first")), ["_key", "toxic"]).where("_id <> _first"))
+    texts = _may_be_in(labelled, others).join(others, [*own, "_id"]).withColumn("deal", F.pmod(F.xxhash64("_id"), "deals"))
     pairs = texts.join(dealt, ["_key", "toxic", "deal"]).select("_id", "toxic", "_h1", "_h2", "_text", "_lead")
 
     def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(rows):
             keep = []
             for text, lead in zip(*(batch.column(i).to_pylist() for i in (4, 5)), strict=True):
-                x, y = (vectors.shingle_sets([t.encode()], 5)[0] for t in (text, lead))
+                x, y = (vectors.shingle_sets([unpack(t)], 5)[0] for t in (text, lead))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * NEAR.denominator >= (len(x) + len(y) - both) * NEAR.numerator and both > 0)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     kind = T.StructType(pairs.schema.fields[:4])
     copies = pairs.mapInArrow(near, kind).distinct()
-    kept = firsts.join(copies, ["_id", "toxic", "_h1", "_h2"], "left_anti").select("_id", "toxic", "_h1", "_h2")
-    return labelled.join(kept, ["_id", "toxic", "_h1", "_h2"])
+    one = ["_id", "toxic", "_h1", "_h2"]
+    kept = firsts.join(copies, one, "left_anti")
+    left_out = cut_lineage(labelled.select(*one).join(kept, one, "left_anti").distinct())
+    marked = _marked(labelled, left_out)
+    judged = marked.where("_may").join(left_out, one, "left_anti")
+    return marked.where("not _may").unionByName(judged.select(*marked.columns)).drop("_may")
 
 
-def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``_id`` is among ``ids``, and some others: those whose hash has the bit of one of them.
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` with ``_may``: true if ``_id`` is among ``ids``, and for some others, whose hash has the bit of one of them.
 
     The bits take 4 MB at most, whatever the number of ids, and are sent to every
     worker; so a join that follows need not shuffle the texts of most other rows.
-    Ids that a join would compare as another type all stay.
+    Ids that a join would compare as another type are all marked.
     """
     one, other = (x.schema["_id"].dataType for x in (rows, ids))
     if not (one == other == T.StringType() or isinstance(one, T.IntegralType) and isinstance(other, T.IntegralType)):
-        return rows
-    if one != other:  # equal numbers of two types have different hashes
-        return _may_be_in(rows.withColumn("_id", F.col("_id").cast("long")), ids.select(F.col("_id").cast("long")))
-    hashed = F.pmod(F.xxhash64("_id"), F.lit(_BITS))
+        return rows.withColumn("_may", F.lit(True))
+    # equal numbers of two types have different hashes
+    hashed = F.pmod(F.xxhash64("_id" if one == other else F.col("_id").cast("long")), F.lit(_BITS))
     at = F.pmod(hashed, F.lit(_BITMAP))
     bits = ids.select(F.floor(hashed / _BITMAP).alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     placed = rows.withColumns({"_part": F.floor(hashed / _BITMAP), "_at": at})
-    return placed.join(F.broadcast(bits), "_part").where(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+    may = F.coalesce(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), "_part", "left").select(*rows.columns, may.alias("_may"))
+
+
+def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``_id`` is among ``ids``, and some others (:func:`_marked`)."""
+    return _marked(rows, ids).where("_may").drop("_may")
+
+
+def _smallest_order(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest ``_order``, a hash, and those that tie with the last of them; no row is moved for it."""
+    top = F.shiftright("_order", 48)
+    before = 0
+    for part in sorted(rows.groupBy(top.alias("top")).count().collect(), key=lambda r: r["top"]):
+        if before + part["count"] >= n:
+            # a 65536th of the numbers
+            orders = sorted(r["_order"] for r in rows.where(top == part["top"]).select("_order").collect())
+            return rows.where(F.col("_order") <= orders[n - before - 1])
+        before += part["count"]
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
@@ -436,7 +499,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     Of verified copies with the same label (:func:`_without_copies`) only one
     counts, else the words of a much copied toxic text would look toxic. Labelled
-    texts are joined and written once; word counts cover all that are no copies. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
+    texts are joined and written once, compressed; word counts cover all that are no copies. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
     smallest hash of their id. The lexicon holds at most ``MAX_LEXICON`` words.
     Rows without a label or an id are ignored; without both classes every score
     is the same.
@@ -444,10 +507,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
     path = scratch_path(docs.sparkSession, "labelled")
-    keyed = _keyed(_may_be_in(texts, marks).join(marks.distinct(), "_id").select("_id", "toxic", "_text"))
+    keyed = _keyed(_may_be_in(texts, marks)).join(marks.distinct(), "_id")
     keyed.write.parquet(path)
     labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
-    rows = cut_lineage(_without_copies(labelled).select("_text", "toxic", F.xxhash64("_id").alias("_order")))
+    rows = _without_copies(labelled).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
     words, usual = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:
@@ -456,13 +519,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     start = ToxicityModel(chars, dict.fromkeys(words, 0.0), 0.0, tuple(usual))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(start)
+        scorer, unpack = Scorer(start), zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
-            found = [sorted(scorer.found(t)) for t in batch.column(0).to_pylist()]
+            found = [sorted(scorer.found(unpack(t).decode())) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
     # the sample is chosen by ids alone, so only its texts are read as features
-    sample = rows.orderBy("_order").limit(FIT_ROWS).select("_text", "toxic").repartition(16)
+    sample = _smallest_order(rows, FIT_ROWS).select("_text", "toxic").repartition(16)
     fitted = sample.mapInArrow(features, "found array<int>, toxic int").collect()
     weights, bias = _logistic([r["found"] for r in fitted], np.array([r["toxic"] for r in fitted], float), len(words))
     return ToxicityModel(chars, dict(zip(words, weights.tolist(), strict=True)), bias, tuple(usual))

@@ -1,5 +1,6 @@
-"""Which texts reach the join with their labels."""
+"""Which texts reach the join with their labels, and which tokens the decoder."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from packetloom.llm import toxicity
@@ -27,3 +28,36 @@ def test_ids_of_two_types_meet(spark):
     ids = rows.where("_id < 50").select(F.col("_id").cast("int").alias("_id"))
     assert {r["_id"] for r in toxicity._may_be_in(rows, ids).collect()} >= set(range(50))
     assert toxicity._may_be_in(rows, ids.select(F.format_string("%03d", "_id").alias("_id"))).count() == 100
+
+
+def test_texts_of_no_copy_are_not_shuffled_to_leave_copies_out(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 2800, 50)]
+    rows = [(i, i % 2, t) for i, t in enumerate([*texts, texts[0], texts[1]])]
+    kept = toxicity._without_copies(toxicity._keyed(spark.createDataFrame(rows, "_id long, toxic int, _text string")))
+    assert sorted(r["_id"] for r in kept.collect()) == list(range(len(texts)))
+    # a union: all rows without the bit of a copy come as they are, the others through the join
+    apart = kept.where(F.col("_id").isin(0, 1))
+    assert len(apart.collect()) == 2 and "Union" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smallest_orders(spark):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("_order"))
+    orders = sorted(r["_order"] for r in rows.collect())
+    for n in (1, 700, 4999, 5000, 9000):
+        assert sorted(r["_order"] for r in toxicity._smallest_order(rows, n).collect()) == orders[:n]
+
+
+def test_what_can_hold_no_word_of_the_lexicon_is_not_decoded(monkeypatch):
+    words = ["idiot", "scum", "du"]
+    chars = toxicity.CharModel.fit(np.ones(toxicity._CODES**3), words)
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(chars, dict.fromkeys(words, 1.0), -1.0))
+    decoded, decode = [], toxicity.Restorer.decode
+    monkeypatch.setattr(toxicity.Restorer, "decode", lambda self, token: decoded.append(token) or decode(self, token))
+    # none of these begins and ends with tokens of a word, though letters of one are inside
+    assert scorer.found("ed ual to the end up of b1-d2 x-42y it is cum s ad u") == set()
+    assert decoded == []
+    assert scorer.found("an i d1 o t; $c-um") == {0, 1} == scorer.found("an i d1 o t; $c-um")
+    assert len(decoded) == 2
+    scorer.found("")
+    assert toxicity.Scorer(toxicity.ToxicityModel(chars, {"***": 1.0, "7": 1.0}, -1.0)).found("a *** 7 b") == {0, 1}
