@@ -291,7 +291,9 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: Da
     )
     asking = marked.where(outside | (F.col("least") < F.col("main")))
     asked = asking.select("token", F.when(outside, 0).otherwise(1).alias("range"), *fields, "counters").join(blocks, ["token", "range"])
-    columns = [*fields, *[f"post{f}" for f in fields]]
+    # what counts the shared shingles; the rest has been looked at
+    told = ("_id", "matches")
+    columns = [*told, *[f"post{f}" for f in told]]
 
     def likely(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows):
@@ -308,25 +310,25 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: Da
             at = at[possible(x, y, n[at], m[at], t)]
             left = np.bincount(query[at], minlength=batch.num_rows)
             offsets = pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, p.take(pa.array(at))) for p in post[:4]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], columns).filter(pa.array(left > 0))
+            lists = [pa.ListArray.from_arrays(offsets, post[i].take(pa.array(at))) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], columns).filter(pa.array(left > 0))
 
     def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, held = None, []
 
         def pairs() -> list[tuple[int, int]]:
-            own, _, matches, _ = query
+            own, matches = query
             post = np.concatenate(held)
             other, first, shared = np.unique(post[:, 0], return_index=True, return_counts=True)
             post = post[first]
-            keep = shared >= np.minimum(post[:, 2], matches)
+            keep = shared >= np.minimum(post[:, 1], matches)
             return [(min(own, o), max(own, o)) for o in other[keep].tolist()]
 
         for batch in rows:
             found = []
-            values = np.stack([batch.column(4 + i).values.to_numpy() for i in range(4)], 1)
-            offsets = batch.column(4).offsets.to_numpy()
-            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            values = np.stack([batch.column(2 + i).values.to_numpy() for i in range(2)], 1)
+            offsets = batch.column(2).offsets.to_numpy()
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
                 if query is not None and row[0] != query[0]:
                     found += pairs()
                     held = []
@@ -338,7 +340,7 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: Da
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in last], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     met = asked.select(*fields, "counters", *[f"post{f}" for f in (*fields, "counters")])
-    kind = ", ".join([*[f"{f} long" for f in fields], *[f"post{f} array<long>" for f in fields]])
+    kind = ", ".join([*[f"{f} long" for f in told], *[f"post{f} array<long>" for f in told]])
     by_query = met.mapInArrow(likely, kind).repartition("_id").sortWithinPartitions("_id").select(*columns)
     return by_query.mapInArrow(match, "a long, b long").distinct()
 
@@ -453,13 +455,17 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     bucketed = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), deals))).select(
         "_id", "_text", "token", "deal", F.pmod(F.xxhash64("_id", "deal"), F.ceil(F.col("held") / BUCKET)).alias("bucket")
     )
+    def stars(labels: DataFrame) -> DataFrame:
+        """Links that join what ``labels`` has in a component: later rounds start from these."""
+        return labels.select(F.col("_id").alias("a"), F.col("component").alias("b"))
+
     links = stored(_bucket_links(bucketed, size, threshold), "links")
     labels = stored(components(links).withColumnRenamed("node", "_id"), "labels")
-    links = stored(links.unionByName(_block_links(kept, labels, size, threshold)), "links")
+    links = stored(stars(labels).unionByName(_block_links(kept, labels, size, threshold)), "links")
     labels = components(links).withColumnRenamed("node", "_id")
     classes = stored(_compared(kept, labels, stored), "labels")
     found = stored(_verified(_candidates(entries.drop("held"), classes, threshold, kept.select("_id", "counters")), kept, size, threshold), "links")
-    final = components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
+    final = components(stars(labels).unionByName(found)).select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component", "rep")).alias("component_id")
     )

@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from packetloom.llm import jaccard_join
+from packetloom.llm import components, jaccard_join
 from packetloom.llm.vectors import shingle_sets
 
 
@@ -60,3 +60,27 @@ def test_counters_never_rule_out_a_similar_pair():
             rows = [np.frombuffer(jaccard_join._counters(s), np.uint8)[None] for s in (x, y)]
             may = jaccard_join.possible(*rows, np.array([n]), np.array([n]), t)[0]
             assert may or 5 * both < 4 * (2 * n - both)
+
+
+def test_few_links_are_written_by_few_tasks(spark, monkeypatch):
+    written, cut = [], components.cut_lineage
+
+    def counting(df):
+        out = cut(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counting)
+    least = spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(10 * least))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # two paths and a star, joined at their ends
+        links = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(20)] + [(40, 105)] + [(300 - i, 299 - i) for i in range(9)]
+        got = {(r["node"], r["component"]) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(i, 0) for i in [*range(41), *range(100, 120)]} | {(300 - i, 291) for i in range(10)}
+    assert len(written) > 2 and max(written[1:]) <= least
