@@ -1,8 +1,11 @@
 """Chains by doubling, and the next known value, against loops."""
 
 import random
+import time
 from bisect import bisect_left
 
+from pyspark.sql import functions as F
+
 from packetloom.functions.chains import first_at_least, reached
 
 
@@ -29,3 +32,19 @@ def test_first_at_least(spark):
         expected = {a: ordered[i] if (i := bisect_left(ordered, a)) < len(ordered) else None for a in asked}
         rows = first_at_least(*frames).collect()
         assert len(rows) == len(expected) and {r.value: r.found for r in rows} == expected
+
+
+def test_first_at_least_on_many_values_of_one_slice(spark):
+    """The work grows with the values, not with their square: one slice of 80,000 took minutes."""
+    n = 80_000
+    known = spark.range(0, 7 * n, 7).select(F.col("id").alias("value"))
+    asked = spark.range(0, 7 * n, 5 * 7).select((F.col("id") - 3).alias("value")).unionByName(spark.range(1).select(F.lit(7 * n).alias("value")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    began = time.monotonic()
+    try:
+        got = {r.value: r.found for r in first_at_least(asked, known).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert time.monotonic() - began < 40
+    assert got == {35 * i - 3: 35 * i for i in range(n // 5)} | {7 * n: None}
