@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.storage import scratch_path
@@ -163,49 +164,87 @@ def _bucket_links(members: DataFrame, size: int, t: Fraction) -> DataFrame:
     """Compare the documents of each bucket (at most about ``BUCKET``) with each other."""
 
     def links(table: pa.Table) -> pa.Table:
-        ids = table.column("_id").to_pylist()
-        sets = _unpacked_sets(table.column("_text").to_pylist(), size)
         found = []
-        for a in range(0, len(ids), 2 * BUCKET):  # a bucket dealt by hash is rarely this large
-            own = sets[a : a + 2 * BUCKET]
-            found += _forest(ids[a : a + 2 * BUCKET], _similar(own, t) & ~np.eye(len(own), dtype=bool))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        for a in range(0, table.num_rows, 2 * BUCKET):  # a bucket dealt by hash is rarely this large
+            own = table.slice(a, 2 * BUCKET)
+            found += _linked(own, ~np.eye(own.num_rows, dtype=bool), size, t)
+        return _as_links(found)
 
     return members.groupBy("token", "deal", "bucket").applyInArrow(links, "a long, b long")
 
 
+def size_class(n: str, t: Fraction) -> Column:
+    """A number for sizes of sets; those of two sets as similar as ``t`` differ by 1 at most."""
+    # a little wider than the ratio of sizes, which rounding cannot undo
+    return F.floor(F.log(F.col(n).cast("double")) / (math.log(1 / t) + 1e-6))
+
+
+def _possible_pairs(counters: np.ndarray, n: np.ndarray, worth: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs of sets may be as similar as ``t`` by their sizes and counters, of those ``worth`` a look (all symmetric)."""
+    least, most = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    x, y = np.nonzero(np.triu(worth & (least * t.denominator >= most * t.numerator), 1))
+    found = np.zeros(worth.shape, bool)
+    for a in range(0, len(x), _SLICE // BINS):
+        i, j = x[a : a + _SLICE // BINS], y[a : a + _SLICE // BINS]
+        found[i, j] = possible(counters[i], counters[j], n[i], n[j], t)
+    return found | found.T
+
+
+def _linked(table: pa.Table, worth: np.ndarray, size: int, t: Fraction) -> list[tuple[int, int]]:
+    """Links between the documents of a table, of the pairs ``worth`` a look; sets are made only where counters leave a pair."""
+    table = table.combine_chunks()
+    counters = _counter_rows(table.column("counters").chunk(0)) if table.num_rows else np.zeros((0, BINS), np.uint8)
+    may = _possible_pairs(counters, table.column("n").to_numpy(), worth, t)
+    at = np.flatnonzero(may.any(1))
+    if not len(at):
+        return []
+    sets = _unpacked_sets(table.column("_text").take(pa.array(at)).to_pylist(), size)
+    return _forest(table.column("_id").to_numpy()[at].tolist(), _similar(sets, t) & may[np.ix_(at, at)])
+
+
+def _as_links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
 def _block_links(kept: DataFrame, labels: DataFrame, size: int, t: Fraction) -> DataFrame:
     """Links between different components of documents that have their commonest prefix shingle in common.
 
-    Such a group of more than one bucket is cut into blocks; each block of
-    documents outside its main component meets each block of the group in one
-    task, which compares all of them by a product of matrices and returns no more
-    links than documents. So pairs of a hot group are neither listed nor shuffled.
+    Such a group of more than one bucket falls into cells: a class of sizes and
+    the next one, as documents of classes further apart cannot be similar. A cell
+    is cut into blocks; each block of documents outside its main component meets
+    each block of the cell in one task, which returns no more links than
+    documents. So pairs of a hot group are neither listed nor shuffled. Counters
+    of shingles rule out most unlike pairs there; sets are made only of documents
+    that are left with one, and compared by a product of matrices.
     """
-    known = kept.join(labels, "_id", "left").select("_id", "_text", "token", "held", F.coalesce("component", "_id").alias("component"))
-    known = known.where(F.col("held") > BUCKET)
+    if "counters" not in kept.columns:
+        kept = _sketched(kept, size)
+    known = kept.join(labels, "_id", "left").select("_id", "_text", "token", "held", "n", "counters", F.coalesce("component", "_id").alias("component"))
+    known = known.where(F.col("held") > BUCKET).withColumn("class", size_class("n", t))
+    known = known.withColumn("cell", F.explode(F.array(F.col("class"), F.col("class") - 1)))
     groups = (
-        known.groupBy("token", "component")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("token")
-        .agg(F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("main"))
-        .where("total > main.c")
-        .select("token", F.col("main.component").alias("main"), *[F.ceil(x / BUCKET).alias(n) for n, x in (("all", F.col("total")), ("outer", F.col("total") - F.col("main.c")))])
+        known.groupBy("token", "cell", "component")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class"))
+        .groupBy("token", "cell")
+        .agg(F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("main"), F.min("class").alias("class"))
+        # what has only the larger class meets in the cell of that class
+        .where("total > main.c AND class = cell")
+        .select("token", "cell", F.col("main.component").alias("main"), *[F.ceil(x / BUCKET).alias(n) for n, x in (("all", F.col("total")), ("outer", F.col("total") - F.col("main.c")))])
     )
-    marked = known.drop("held").join(groups, "token")
+    marked = known.drop("held").join(groups, ["token", "cell"])
     inner, outer = F.pmod(F.xxhash64("_id"), "all"), F.pmod(F.xxhash64("_id", F.lit(DEALS)), "outer")
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda o: F.struct(o.alias("x"), inner.alias("y")))
     asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda i: F.struct(outer.alias("x"), i.alias("y")))
     places = F.when(F.col("component") == F.col("main"), met).otherwise(F.array_union(met, asked))
-    dealt = marked.withColumn("place", F.explode(places)).select("_id", "component", "_text", "token", "place.x", "place.y")
+    dealt = marked.withColumn("place", F.explode(places)).select(
+        "_id", "component", "_text", "n", "counters", (F.col("class") == F.col("cell")).alias("lower"), "token", "cell", "place.x", "place.y"
+    )
 
     def links(table: pa.Table) -> pa.Table:
-        ids = table.column("_id").to_pylist()
-        own = np.array(table.column("component").to_pylist())
-        found = _forest(ids, _similar(_unpacked_sets(table.column("_text").to_pylist(), size), t) & (own[:, None] != own[None, :]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        own, lower = (table.column(c).to_numpy() for c in ("component", "lower"))
+        return _as_links(_linked(table, (own[:, None] != own[None, :]) & (lower[:, None] | lower[None, :]), size, t))
 
-    return dealt.groupBy("token", "x", "y").applyInArrow(links, "a long, b long")
+    return dealt.groupBy("token", "cell", "x", "y").applyInArrow(links, "a long, b long")
 
 
 def _compared(kept: DataFrame, labels: DataFrame, stored) -> DataFrame:
@@ -254,7 +293,8 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: Da
 
     In the postings of a shingle all documents but those of its commonest
     component query the postings, which are cut into blocks; pairs within one
-    component need no look. Documents of the commonest component query those of
+    component need no look; in those of more than one block a document queries only the
+    blocks of its class of sizes and the two beside it. Documents of the commonest component query those of
     components with a smaller id. So of any two documents the one of the larger
     component id meets the other at every shingle that they share, and its count
     is whole. A pair that cannot be similar by its ``counters`` is left out where
@@ -282,15 +322,22 @@ def _candidates(entries: DataFrame, labels: DataFrame, t: Fraction, counters: Da
     # range 0 of a shingle has all its postings, range 1 those of components before its commonest one
     posted = marked.withColumn("range", F.explode(F.when(before, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     most = F.when(F.col("range") == 0, F.col("total")).otherwise(F.col("total") - F.col("held"))
+    # where a range has several blocks, each holds documents of a class of sizes
+    hot, own = most > BUCKET, size_class("n", t)
+    posted = posted.withColumn("class", F.when(hot, own).otherwise(F.lit(0).cast("long")))
+    counts = posted.where(hot).groupBy("token", "range", "class").agg(F.count(F.lit(1)).alias("c"))
     blocks = (
-        posted.withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(most / BUCKET)))
-        .groupBy("token", "range", "block")
+        posted.join(counts, ["token", "range", "class"], "left")
+        .withColumn("block", F.pmod(F.xxhash64("_id"), F.ceil(F.coalesce("c", F.lit(1)) / BUCKET)))
+        .groupBy("token", "range", "class", "block")
         .agg(F.sort_array(F.collect_list(F.struct(*fields, "counters"))).alias("posts"))
         # an array per field: sorted ids and near equal numbers shrink well in a shuffle, structs do not
-        .select("token", "range", *[F.col(f"posts.{f}").alias(f"post{f}") for f in (*fields, "counters")])
+        .select("token", "range", "class", *[F.col(f"posts.{f}").alias(f"post{f}") for f in (*fields, "counters")])
     )
     asking = marked.where(outside | (F.col("least") < F.col("main")))
-    asked = asking.select("token", F.when(outside, 0).otherwise(1).alias("range"), *fields, "counters").join(blocks, ["token", "range"])
+    asking = asking.withColumn("range", F.when(outside, 0).otherwise(1))
+    asking = asking.withColumn("class", F.explode(F.when(hot, F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    asked = asking.select("token", "range", "class", *fields, "counters").join(blocks, ["token", "range", "class"])
     # what counts the shared shingles; the rest has been looked at
     told = ("_id", "matches")
     columns = [*told, *[f"post{f}" for f in told]]
@@ -362,6 +409,20 @@ def _unpacked_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return list(_sets([unpack(t).decode() for t in texts], size))
 
 
+def _sketched(docs: DataFrame, size: int) -> DataFrame:
+    """Documents (``_id, _text, held, token``) with their ``sketch``, ``counters`` and ``n``, the number of their shingles."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(rows):
+            sets = _unpacked_sets(batch.column(1).to_pylist(), size)
+            made = [pa.array([f(s) for s in sets], pa.binary()) for f in (_sketch, _counters)]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made, sizes], [*batch.schema.names, "sketch", "counters", "n"])
+
+    kind = "_id long, _text binary, held long, token long, sketch binary, counters binary, n long"
+    return docs.select("_id", "_text", "held", "token").mapInArrow(run, kind)
+
+
 def _filtered(pairs: DataFrame, kept: DataFrame, column: str, values, overlap, t: Fraction) -> DataFrame:
     """The pairs whose overlap by ``column`` suffices; each pair travels with one of its two values once."""
 
@@ -405,7 +466,8 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
        shingles of one document only, most of all, go no further.
     3. Documents that share their most frequent prefix shingle are compared in
        buckets of bounded size, which joins most of a large group of near copies;
-       those left outside the group's main component then meet all blocks of it.
+       those left outside the group's main component then meet all blocks of it
+       that hold documents of about their size.
     4. Exactly the pairs that are in different components, were not compared yet
        and share enough of their prefixes are verified. A hot shingle is cut into
        blocks; documents outside its main class query all of them, those inside a part.
@@ -438,22 +500,16 @@ def similar_groups(docs: DataFrame, threshold: Fraction = Fraction(4, 5), size:
     entries = stored(entries.join(shared, "token").drop("df"), "postings")
     wanted = entries.groupBy("_id").agg(F.max(F.struct("held", "token")).alias("top")).select("_id", "top.token")
 
-    def sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(rows):
-            sets = _unpacked_sets(batch.column(1).to_pylist(), size)
-            made = [pa.array([f(s) for s in sets], pa.binary()) for f in (_sketch, _counters)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "sketch", "counters"])
-
     # texts travel compressed, a third of the size of their sets; of several texts of one id the smallest counts
     once = pack(texts, "_text").groupBy("_id").agg(F.min("_text").alias("_text"))
     # documents whose commonest shingle it is, not all that have it
     held = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     chosen = once.join(stored(wanted.join(held, "token"), "tops"), "_id").select("_id", "_text", "held", "token")
-    kept = stored(chosen.mapInArrow(sketched, "_id long, _text binary, held long, token long, sketch binary, counters binary"), "kept")
+    kept = stored(_sketched(chosen, size), "kept")
     # where several buckets share a shingle, its documents are dealt anew twice, which joins groups of different buckets
     deals = F.when(F.col("held") > BUCKET, F.lit(DEALS - 1)).otherwise(F.lit(0))
     bucketed = kept.withColumn("deal", F.explode(F.sequence(F.lit(0), deals))).select(
-        "_id", "_text", "token", "deal", F.pmod(F.xxhash64("_id", "deal"), F.ceil(F.col("held") / BUCKET)).alias("bucket")
+        "_id", "_text", "n", "counters", "token", "deal", F.pmod(F.xxhash64("_id", "deal"), F.ceil(F.col("held") / BUCKET)).alias("bucket")
     )
     def stars(labels: DataFrame) -> DataFrame:
         """Links that join what ``labels`` has in a component: later rounds start from these."""

@@ -84,3 +84,62 @@ def test_few_links_are_written_by_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {(i, 0) for i in [*range(41), *range(100, 120)]} | {(300 - i, 291) for i in range(10)}
     assert len(written) > 2 and max(written[1:]) <= least
+
+
+def unlike_texts(n, line, r):
+    """Short texts of all sizes around a common line, the last tenth near copies of others."""
+    texts = []
+    for i in range(n):
+        if i >= n - n // 10:
+            texts.append(texts[r.randrange(i)] + f" y{i}")
+            continue
+        words = [f"v{r.randrange(10**9)}" for _ in range(r.randrange(8, 300))]
+        at = r.randrange(len(words))
+        texts.append(" ".join([*words[:at], *line, *words[at:]]))
+    return texts
+
+
+def test_unlike_documents_of_a_hot_group_are_ruled_out_before_sets_are_made(spark, monkeypatch):
+    """The documents that share a hot shingle grow with the corpus, those of them that are alike do not."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    r, t, n = random.Random(6), Fraction(9, 10), 400
+    texts = unlike_texts(n, ["it", "is", "said"], r)
+    sets = shingle_sets([x.encode() for x in texts], 3)
+    similar = {(i, j) for i in range(n) for j in range(i) if 10 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 9 * (len(sets[i]) + len(sets[j]) - both)}
+    rows = spark.createDataFrame([(i, x, 5, n) for i, x in enumerate(texts)], "_id long, _text string, token long, held long")
+    kept = jaccard_join._sketched(jaccard_join.pack(rows, "_text"), 3).cache()
+    made, met = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    unpacked, linked = jaccard_join._unpacked_sets, jaccard_join._linked
+
+    def counting_sets(values, size):
+        made.add(len(values))
+        return unpacked(values, size)
+
+    def counting_rows(table, *args):
+        met.add(table.num_rows)
+        return linked(table, *args)
+
+    kept.count()
+    monkeypatch.setattr(jaccard_join, "_unpacked_sets", counting_sets)
+    monkeypatch.setattr(jaccard_join, "_linked", counting_rows)
+    labels = spark.createDataFrame([], "_id long, component long")
+    found = {(max(x), min(x)) for x in jaccard_join._block_links(kept, labels, 3, t).collect()}
+    # which of several links join a group is not told
+    assert found <= similar and similar
+    label = [{i: i for i in range(n)} for _ in range(2)]
+    for of, links in zip(label, (found, similar), strict=True):
+        for _ in range(n):
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+            if all(of[i] == of[j] for i, j in links):
+                break
+    assert label[0] == label[1]
+    # every document met all 25 blocks twice, and each of them had its set made there
+    assert made.value < 4 * n and met.value < n * 25
+
+
+def test_sizes_of_similar_sets_are_at_most_one_class_apart(spark):
+    for t in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2), Fraction(1)):
+        n = spark.range(1, 3000).select(jaccard_join.F.col("id").alias("n")).withColumn("class", jaccard_join.size_class("n", t))
+        of = {x["n"]: x["class"] for x in n.collect()}
+        assert all(0 <= of[m] - of[k] <= 1 for k in of for m in range(k, min(2999, k * t.denominator // t.numerator) + 1))
