@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import chains
 from packetloom.functions.expressions import floor_div
 from packetloom.functions.ordering import total_before
-from packetloom.functions.storage import cut_lineage
+from packetloom.functions.storage import cut_lineage, measured
 from packetloom.sources import formats
 from packetloom.sources.tables import FRAME_COLUMNS, tcp_only
 
@@ -147,7 +147,8 @@ def _repaired(ranges: DataFrame, split_bytes: int) -> DataFrame:
     roots = ranges.where("lo = 0").select("path", "start")
     led = maps.select("path", F.explode(F.arrays_zip("ends", "over")).alias("e")).where("NOT e.over").select("path", F.col("e.ends").alias("start"))
     asked = led.unionByName(roots).distinct().withColumn("lo", floor_div("start", split_bytes) * split_bytes)
-    gathered = asked.groupBy("path", "lo").agg(F.collect_list("start").alias("starts")).join(maps, ["path", "lo"])
+    starts = measured(asked.groupBy("path", "lo").agg(F.collect_list("start").alias("starts")))
+    gathered = starts.join(maps, ["path", "lo"])
     steps = cut_lineage(gathered.mapInArrow(_look_up, "path string, lo long, start long, stop long, ended boolean"))
     pointers = steps.select("path", "start", F.expr("CASE WHEN NOT ended THEN stop END").alias("next"))
     true = chains.reached(pointers, roots, ["path"]).join(steps, ["path", "start"])
@@ -216,8 +217,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(ranges: DataFrame, count: int) -> DataFrame:
-    """One range per task (round-robin, so evenly): the rows are tiny, but not the bytes they stand for."""
-    return ranges.repartition(max(1, count))
+    """One range per task, in order of position: the rows are tiny, but not the bytes they stand for."""
+    return ranges.repartitionByRange(max(1, count), "base", "lo").sortWithinPartitions("base", "lo")
 
 
 def capture_ranges(spark: SparkSession, path: str, split_bytes: int, glob: str | None = None) -> DataFrame:
@@ -251,7 +252,8 @@ def frames_from_pcap(spark: SparkSession, path: str, split_bytes: int = 128 << 2
     """All frames of the capture files below ``path``, in the ``frames`` layout.
 
     ``seq`` is the byte position in the files laid end to end by path: unique and
-    increasing in capture order without counting records.
+    increasing in capture order without counting records. The frames lie in this
+    order, from partition to partition.
     """
     ranges = capture_ranges(spark, path, split_bytes, glob)
     decoded = _spread(ranges, ranges.count()).mapInArrow(

@@ -178,6 +178,14 @@ def test_traps_in_every_split(spark, tmp_path, split):
     assert [r.src_port for r in frames_from_pcap(spark, str(tmp_path), split_bytes=split).orderBy("seq").collect()] == [*range(n)]
 
 
+def test_frames_lie_in_order_of_seq(spark, tmp_path):
+    data, n = trap(9, 3000)
+    (tmp_path / "a.pcap").write_bytes(data)
+    (tmp_path / "c.pcap").write_bytes(capture([(1, i, ethernet(ipv4(tcp(src_port=i)))) for i in range(200)]))
+    frames = frames_from_pcap(spark, str(tmp_path), split_bytes=500)
+    assert [r.src_port for r in frames.collect()] == [*range(n), *range(200)]
+
+
 def test_exits_equal_following_each_offset():
     from packetloom.sources import formats
 

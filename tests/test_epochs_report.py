@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom import EPOCH
+from packetloom.functions.ordering import positions
 from packetloom.operators import epochs, relational, report
 from packets import frame, packet
 
@@ -116,6 +118,31 @@ def test_positions_over_many_slices(spark):
         assert mine == [(i + 1, v, k) for i, (v, k) in enumerate(expected)]
 
 
+@pytest.mark.parametrize("in_order", [False, True])
+def test_positions_do_not_shuffle_what_is_sorted(spark, in_order):
+    rows = spark.range(0, 1000, 1, 7).select(F.expr("CASE WHEN id >= 300 THEN id DIV 900 END AS part"), F.col("id").alias("seq"))
+    before = rows.withColumn("was_in", F.spark_partition_id())
+    numbered = positions(before, "part", [F.asc("seq")], in_order=in_order).withColumn("is_in", F.spark_partition_id())
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = sorted(numbered.collect(), key=lambda r: r.seq)
+    starts = {None: 0, 0: 300, 1: 900}
+    assert [(r.seq, r.position) for r in got] == [(i, i - starts[r.part] + 1) for i, r in enumerate(got)]
+    assert not in_order or all(r.was_in == r.is_in for r in got)
+
+
+def test_positions_with_more_parts_than_can_be_broadcast(spark):
+    rows = spark.range(0, 500, 1, 5).select((F.col("id") % 100).alias("part"), F.col("id").alias("seq"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100b")
+    try:
+        numbered = positions(rows, "part", [F.desc("seq")])
+        assert "BroadcastHashJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.seq, r.position) for r in numbered.collect()) == [(i, 5 - i // 100) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_accounting_and_metrics(spark):
     df = frame(spark, [packet(i, e) for i, e in enumerate([0, 0, 0, 2, 5000, 5000])])
     got = report.frame_accounting(df).orderBy(EPOCH).collect()
