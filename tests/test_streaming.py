@@ -36,6 +36,47 @@ def test_stream_equals_batch_on_closed_windows(spark, query, threshold):
     assert rows(stream) == [r for r in batch if r[0] < last]
 
 
+def test_window_join_is_an_inner_join(spark):
+    """Several rows of a window and key on one side or both, null keys, and a name on both sides."""
+    table = "t INT, host STRING, n INT"
+    one = [(0, "a", 1), (0, "a", 2), (0, "b", 3), (1, "a", 4), (1, None, 5), (2, "c", 6)]
+    other = [(0, "a", 10), (0, "a", 20), (1, "a", 30), (1, "b", 40), (1, None, 50), (3, "c", 60)]
+
+    def sides(key):
+        for name, values in (("host", one), (key, other)):
+            df = spark.createDataFrame(values, table).withColumn("window", F.window(F.timestamp_seconds(F.col("t") * 10), "10 seconds"))
+            yield df.select("window", F.col("host").alias(name), F.when(F.col("n") != 2, F.col("n")).alias("n"))
+
+    left, right = sides("peer")
+    got = windows.window_join(left, right, "host", "peer")
+    assert got.columns == ["window", "host", "n", "peer", "n"]
+    expected = [(t * 10, h, None if n == 2 else n, h, m) for t, h, n in one for u, p, m in other if (t, h) == (u, p) and h]
+    rows = [(int(r[0].start.timestamp()), *r[1:]) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(expected, key=str)
+
+
+def test_syn_flood_on_a_stream_has_one_state_for_the_join(spark, tmp_path):
+    result = windows.syn_flood(windows.stream_events_as_frames(spark, FOLDER), DAY, 2, delay="0 seconds")
+    writer = result.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(availableNow=True).start(str(tmp_path / "rows"))
+    query.awaitTermination()
+    states = [o.operatorName for o in query.lastProgress.stateOperators]
+    assert states == ["stateStoreSave"] * 3
+    # the rows of a closed window are sent once for its counts, not again to meet
+    assert query._jsq.explainInternal(False).count("Exchange hashpartitioning") == 2
+
+
+def test_clock_of_a_join_is_the_slower_side(spark, tmp_path):
+    """A window closes when packets of both kinds that can meet have passed its end; one without an address does not count."""
+    start = datetime(2024, 1, 1)
+    kinds = [(1, "signup", 1, 1), (2, "purchase", 1, 1), (11, "signup", 1, 1), (12, "purchase", 1, 1), (25, "signup", 1, 1), (35, "purchase", None, 1), (36, "signup", 1, None)]
+    made = [(i, start + timedelta(seconds=t), user, kind, 1.0, None if k is None else f'{{"k": {k}}}') for i, (t, kind, user, k) in enumerate(kinds)]
+    spark.createDataFrame(made, EVENTS_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    result = windows.syn_flood(windows.stream_events_as_frames(spark, str(tmp_path)), 10, 1, delay="0 seconds")
+    base = 1704067200  # 2024-01-01 UTC
+    assert rows(windows.run_to_table(result, "slower")) == [(base, "10.0.0.1", 2)]
+
+
 def test_several_files_per_stream(spark, four_files):
     batch = rows(windows.new_tcp_connections(read_events_as_frames(spark, four_files), DAY, 1))
     source = windows.stream_events_as_frames(spark, four_files, max_files_per_trigger=1)
