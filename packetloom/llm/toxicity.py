@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.storage import cut_lineage, scratch_path
+from packetloom.functions.storage import cut_lineage, measured
 from packetloom.llm import vectors
 from packetloom.llm.columns import whole
 from packetloom.llm.packing import small
@@ -420,7 +420,7 @@ def _without_copies(labelled: DataFrame) -> DataFrame:
     compared or have an id (or its bit) of a copy are shuffled.
     """
     own = ["_key", "toxic", "_h1", "_h2"]
-    firsts = labelled.groupBy(*own).agg(F.min("_id").alias("_id"))
+    firsts = cut_lineage(labelled.groupBy(*own).agg(F.min("_id").alias("_id")))
     groups = (
         firsts.groupBy("_key", "toxic")
         .agg(F.min(F.struct("_id", "_h1", "_h2")).alias("first"), F.count(F.lit(1)).alias("size"))
@@ -470,6 +470,8 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     hashed = F.pmod(F.xxhash64("_id" if one == other else F.col("_id").cast("long")), F.lit(_BITS))
     at = F.pmod(hashed, F.lit(_BITMAP))
     bits = ids.select(F.floor(hashed / _BITMAP).alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    # made once, however often the rows are read
+    bits = cut_lineage(bits)
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     placed = rows.withColumns({"_part": F.floor(hashed / _BITMAP), "_at": at})
     may = F.coalesce(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1, F.lit(False))
@@ -481,6 +483,24 @@ def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return _marked(rows, ids).where("_may").drop("_may")
 
 
+def _labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of :func:`_keyed` of the ``texts`` joined with the different ones of ``marks``, labels 0 and 1 by ``_id``, and written.
+
+    Bits tell the label of nearly every id, so texts stay where they are read. A
+    pass over the ids alone finds those for which the bits are wrong or tell both
+    labels; only texts with the bit of one of these are shuffled to meet ``marks``.
+    """
+    told = _marked(texts, marks.where("toxic = 0")).withColumnRenamed("_may", "_clean")
+    told = _marked(told, marks.where("toxic = 1")).withColumnRenamed("_may", "_toxic").where("_clean OR _toxic")
+    told = told.select("_id", F.expr("CASE WHEN _clean <> _toxic THEN int(_toxic) END").alias("_guess"), "_text")
+    known = marks.select("_id").distinct().withColumn("_known", F.lit(True))
+    ids = told.select("_id", "_guess").dropDuplicates(["_id"]).join(known, "_id", "left")
+    unsure = cut_lineage(ids.where("_guess IS NULL OR _known IS NULL").select("_id"))
+    keyed = measured(_keyed(_marked(told, unsure).select("_id", "_guess", "_may", "_text")))
+    joined = measured(keyed.where("_may").drop("_guess", "_may").join(marks.distinct(), "_id"))
+    return keyed.where("NOT _may").withColumnRenamed("_guess", "toxic").drop("_may").unionByName(joined)
+
+
 def _smallest_order(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows with the smallest ``_order``, a hash, and those that tie with the last of them; no row is moved for it."""
     top = F.shiftright("_order", 48)
@@ -499,18 +519,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     Of verified copies with the same label (:func:`_without_copies`) only one
     counts, else the words of a much copied toxic text would look toxic. Labelled
-    texts are joined and written once, compressed; word counts cover all that are no copies. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
+    texts are written once, compressed (:func:`_labelled`); word counts cover all that are no copies. Only the weights are fitted on a sample: the ``FIT_ROWS`` rows with the
     smallest hash of their id. The lexicon holds at most ``MAX_LEXICON`` words.
     Rows without a label or an id are ignored; without both classes every score
     is the same.
     """
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    path = scratch_path(docs.sparkSession, "labelled")
-    keyed = _keyed(_may_be_in(texts, marks)).join(marks.distinct(), "_id")
-    keyed.write.parquet(path)
-    labelled = docs.sparkSession.read.schema(keyed.schema).parquet(path)
-    rows = _without_copies(labelled).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
+    rows = _without_copies(_labelled(texts, marks)).select("_text", "toxic", F.xxhash64("_id").alias("_order"))
     words, usual = _lexicon(rows)
     chars = CharModel.fit(_trigrams(docs.select(whole(text_col))), words)
     if not words:

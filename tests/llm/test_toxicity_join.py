@@ -1,6 +1,7 @@
 """Which texts reach the join with their labels, and which tokens the decoder."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from packetloom.llm import toxicity
@@ -61,3 +62,35 @@ def test_what_can_hold_no_word_of_the_lexicon_is_not_decoded(monkeypatch):
     assert len(decoded) == 2
     scorer.found("")
     assert toxicity.Scorer(toxicity.ToxicityModel(chars, {"***": 1.0, "7": 1.0}, -1.0)).found("a *** 7 b") == {0, 1}
+
+
+@pytest.mark.parametrize("bits", [toxicity._BITS, 64])
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_labels_told_by_bits_are_those_of_a_join(spark, monkeypatch, bits, kind):
+    """Ids that are null, repeated, with both labels, or without a text; with 64 bits most tell a wrong label or both."""
+    monkeypatch.setattr(toxicity, "_BITS", bits)
+    rows = [(i, f"words of text {i} and no other text") for i in [*range(400), 3, 4, 4, None, None]] + [(5, "another text of five"), (6, None)]
+    marked = [(i, int(i % 9 == 0)) for i in range(0, 500, 2)] + [(4, 1), (4, 1), (18, 0), (27, 1), (None, 0), (None, 1)]
+    texts = spark.createDataFrame(rows, "_id long, _text string").select(F.col("_id").cast(kind).alias("_id"), F.coalesce("_text", F.lit("")).alias("_text")).repartition(3)
+    marks = spark.createDataFrame(marked, "_id long, toxic int").select(F.col("_id").cast("int" if kind == "long" else kind).alias("_id"), "toxic")
+    got = toxicity._labelled(texts, marks)
+    plain = toxicity._keyed(texts).join(marks.distinct(), "_id").select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert toxicity._labelled(texts, marks.limit(0)).collect() == []
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark, monkeypatch):
+    texts = spark.range(0, 2000, 1, 4).select(F.col("id").alias("_id"), F.format_string("words of text %s", "id").alias("_text"))
+    marks = spark.range(0, 2000, 2).select(F.col("id").alias("_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    marks = marks.unionByName(spark.createDataFrame([(8, 1)], "_id long, toxic int")).cache()
+    written, measured = [], toxicity.measured
+    monkeypatch.setattr(toxicity, "measured", lambda df: written.append(df) or measured(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labelled = toxicity._labelled(texts, marks)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (written[0], labelled)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # all texts are written without a join of their own, and read again so; the one with both labels (and few others) is joined
+    assert all("SortMergeJoin" not in plan for plan in plans)
+    assert labelled.count() == 1001 and 2 <= written[1].count() < 30
